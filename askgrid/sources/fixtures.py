@@ -258,3 +258,76 @@ def token_stream(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("-", "conv_id", "turn").alias("request_id"),
         F.posexplode(tokens).alias("pos", "token"),
     )
+
+
+def answer_outputs(df: DataFrame, templates: dict) -> DataFrame:
+    """Samples with ``raw_output``: the decoded text a model would have returned.
+
+    Most rows reply with the gold step; some with blanks around it, a repeated or
+    missing separator, or nonsense; some rows have no reply.
+    """
+    from askgrid.operators.prompts import inference_prompt, training_target
+    from askgrid.operators.replies import separator_of
+
+    digit = F.substring(digest("answer", F.col("sample_id")), 1, 1)
+    prompt = F.concat(F.lit("<s> "), inference_prompt(templates))
+    gold = F.coalesce(training_target(), F.lit(""))
+    output = (
+        F.when(digit == "f", F.lit(None))
+        .when(digit == "e", F.concat(prompt, F.lit("no answer")))
+        .when(digit == "d", gold)
+        .when(digit == "c", F.concat(prompt, gold, separator_of(templates, F.col("template")), F.lit("again</s>")))
+        .when(digit == "b", F.concat(prompt, F.lit("  \n"), gold, F.lit(" \n</s>")))
+        .otherwise(F.concat(prompt, gold, F.lit("</s>")))
+    )
+    return df.withColumn("raw_output", output)
+
+
+def route_outputs(df: DataFrame, templates: dict) -> DataFrame:
+    """Samples with ``raw_output`` of the routing call: some name no known route or lack the mark."""
+    from askgrid.operators.prompts import inference_prompt
+
+    digit = F.substring(digest("route", F.col("sample_id")), 1, 1)
+    prompt = F.concat(F.lit("<s> "), inference_prompt(templates, F.lit("template")))
+    route = F.when(F.col("template") == "template", F.lit("generic")).otherwise(F.col("template"))
+    output = (
+        F.when(digit == "f", route)
+        .when(digit == "e", F.concat(prompt, F.lit("equation</s>")))
+        .when(digit == "d", F.concat(prompt, F.lit("table</s>")))
+        .otherwise(F.concat(prompt, route, F.lit("</s>")))
+    )
+    return df.withColumn("raw_output", output)
+
+
+def replies(df: DataFrame, templates: dict) -> DataFrame:
+    """The reply table ``(sample_id, stage, output)`` of both model calls."""
+    of_route = route_outputs(df, templates).select("sample_id", F.lit("route").alias("stage"), F.col("raw_output").alias("output"))
+    of_answer = answer_outputs(df, templates).select("sample_id", F.lit("answer").alias("stage"), F.col("raw_output").alias("output"))
+    return of_route.unionByName(of_answer).where(F.col("output").isNotNull())
+
+
+def results(df: DataFrame, variant: str) -> DataFrame:
+    """Result rows of a model variant: right, right in another spelling, or wrong."""
+    from askgrid.operators.select import result_rows
+
+    digit = F.substring(digest(variant, F.col("sample_id")), 1, 1)
+    gold = F.col("output")
+    respelled = F.when(F.col("source") == "phrase-bank", F.upper(gold)).otherwise(gold)
+    pred = (
+        F.when(digit < "8", gold)
+        .when(digit == "8", F.concat(F.lit(" "), respelled, F.lit("\n")))
+        .when(digit == "9", F.concat(gold, F.lit("%")))
+        .when(digit == "a", F.concat(F.lit("$"), gold))
+        .otherwise(F.lit("wrong"))
+    )
+    return result_rows(df.withColumns({"pred": pred, "pred_eval": gold_step()}))
+
+
+def gold_step() -> Column:
+    return F.coalesce("derivation_eval", "derivation_sql")
+
+
+def earlier_results(df: DataFrame) -> DataFrame:
+    """Results of about half of the rows, from an interrupted run."""
+    half = F.substring(digest("done", F.col("sample_id")), 1, 1) < "8"
+    return results(df.where(half), "earlier")
