@@ -100,7 +100,7 @@ def line_equations(spark: SparkSession, folder: str) -> DataFrame:
     which shape the line got.
     """
     lines = read(spark, folder, "lineitem").select(
-        F.concat_ws("-", F.lit("tat"), "l_orderkey", *LINE_KEYS).alias("sample_id"),
+        F.concat_ws("-", F.lit("tat"), "l_orderkey", *LINE_KEYS, whole("l_quantity")).alias("sample_id"),
         F.col("l_orderkey"), F.col("l_linenumber").cast("bigint").alias("n"),
         F.col("l_quantity").cast("bigint").alias("q"),
         F.col("l_extendedprice").alias("a"),

@@ -31,9 +31,12 @@ def read_results(spark: SparkSession, path: str, model: str | None = None, varia
 
 def write_results_csv(df: DataFrame, path: str) -> None:
     """CSV with quotes doubled and line breaks kept inside fields."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option(
-        "lineSep", "\n"
-    ).csv(path)
+    (
+        df.write.mode("overwrite")
+        .option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -33,35 +33,45 @@ def prefixes(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int | None
+) -> Iterator[pd.DataFrame]:
     """Add a request's new tokens in order; out-of-order ones wait for their turn."""
     if state.hasTimedOut:
         state.remove()
         return
     done, text, upcoming, waiting = state.get if state.exists else (False, "", 0, {})
     waiting = dict(waiting or {})
-    rows = []
     for batch in batches:
         if not done:
             waiting.update({int(p): t for p, t in zip(batch["pos"], batch["token"]) if p >= upcoming})
-    pieces = [text]
+    rows = []
     while not done and upcoming in waiting:
         token = waiting.pop(upcoming)
         if token == END_MARK:
             done = True
             break
-        pieces.append(token)
-        rows.append((key[0], upcoming, "".join(pieces)))
+        text += token
+        rows.append((key[0], upcoming, text))
         upcoming += 1
     # After the end only the flag is kept, so that late tokens cannot start over.
-    state.update((True, "", upcoming, {}) if done else (False, "".join(pieces), upcoming, waiting))
-    state.setTimeoutDuration(KEEP_MILLISECONDS)
+    state.update((True, "", upcoming, {}) if done else (False, text, upcoming, waiting))
+    if keep_ms:
+        state.setTimeoutDuration(keep_ms)
     if rows:
         yield pd.DataFrame(rows, columns=["request_id", "pos", "output"])
 
 
-def growing_replies(tokens: DataFrame) -> DataFrame:
-    """Streaming twin of :func:`prefixes`, state per request, flag dropped after an hour."""
-    return tokens.groupBy("request_id").applyInPandasWithState(
-        _advance, PREFIX, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def growing_replies(tokens: DataFrame, keep_ms: int | None = KEEP_MILLISECONDS) -> DataFrame:
+    """Streaming twin of :func:`prefixes`, one state per request.
+
+    A continuous stream drops a request ``keep_ms`` after its last token. Pass None
+    for a run that ends with its input (``availableNow``): a pending timeout would
+    keep such a run alive.
+    """
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _advance(key, batches, state, keep_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return tokens.groupBy("request_id").applyInPandasWithState(advance, PREFIX, STATE, "append", timeout)

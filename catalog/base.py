@@ -31,7 +31,7 @@ order_tables AS (
   SELECT sample_id, l_orderkey,
     '{{"header":["line","flag","quantity","price"],"rows":[' ||
     string_agg('["' || l_linenumber || '","' || l_returnflag || '","' || qty || '","' ||
-               format('{{:,.2f}}', l_extendedprice) || '"]', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']' ||
+               format('{{:,.2f}}', l_extendedprice) || '"]', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, CAST(qty AS VARCHAR), l_extendedprice) || ']' ||
     CASE WHEN l_orderkey % 2 = 0 THEN ',"types":["real","text","real","real"]' ELSE '' END || '}}' AS data
   FROM lines GROUP BY sample_id, l_orderkey)"""
 
@@ -52,7 +52,7 @@ answers AS (
 
 EQUATIONS = """
 eq_lines AS (
-  SELECT concat_ws('-', 'tat', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sample_id,
+  SELECT concat_ws('-', 'tat', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS sample_id,
     CAST(l_linenumber AS BIGINT) AS n, CAST(l_quantity AS BIGINT) AS q, l_extendedprice AS a,
     l_quantity * 1000 AS b, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS shipped,
     (l_orderkey + l_linenumber) % 6 AS kind

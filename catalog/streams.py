@@ -20,7 +20,7 @@ def answers(df):
 def streamed(spark, sf):
     path, out, checkpoint = (new_path(spark, n) for n in ("tokens", "prefixes", "prefixes-state"))
     X.token_stream(spark, sf).repartitionByRange(4, "pos").write.parquet(path)
-    append_stream(growing_replies(file_stream(spark, path, TOKEN, 2)), out, checkpoint)
+    append_stream(growing_replies(file_stream(spark, path, TOKEN, 2), keep_ms=None), out, checkpoint)
     return answers(spark.read.parquet(out))
 
 

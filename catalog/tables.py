@@ -75,7 +75,7 @@ BOTH = [("flag", "=", "R"), ("Quantity", ">", "25")]
 
 def picked(spark, sf):
     rows = asked(spark, sf, question("line", conds=BOTH))
-    return rows.select("sample_id", F.posexplode("answer.picks").alias("at", "pick"))
+    return rows.select("sample_id", F.posexplode("answer.picks").alias("nth", "pick"))
 
 
 def aggregated(spark, sf):
@@ -122,7 +122,7 @@ def failed(spark, sf):
 
 
 W = f"WITH {LINES}"
-ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey"
+ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, CAST(qty AS VARCHAR)"
 ROW = f"row_number() OVER (PARTITION BY sample_id {ORDER}) - 1"
 TYPES = "CASE WHEN l_orderkey % 2 = 0 THEN '{0}' ELSE '{1}' END"
 TEXT_CELLS = "format('{:,.2f}', l_extendedprice)"
@@ -161,7 +161,7 @@ QUERIES = {
     "g6_sql_text": (sql_text, SQL_TEXT.replace("data_table", "lineitem")),
     "g7_pick_where": (
         picked,
-        f"""{W} SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id {ORDER}) - 1 AS INT) AS at,
+        f"""{W} SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id {ORDER}) - 1 AS INT) AS nth,
             l_linenumber || '.0' AS pick FROM lines WHERE l_returnflag = 'R' AND l_quantity > 25"""),
     "g8_aggregates": (aggregated, f"{W}, {ANSWERS} SELECT sample_id, value FROM answers"),
     "g9_grouped": (
@@ -175,12 +175,12 @@ QUERIES = {
     "g10_top_one": (
         top_one,
         f"""{W} SELECT sample_id, l_linenumber || '.0' AS result FROM (
-            SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS at FROM lines) WHERE at = 1"""),
+            SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS place FROM lines) WHERE place = 1"""),
     "g10_top_three": (
         top_three,
-        f"""{W} SELECT sample_id, string_agg(l_linenumber || '.0', ',' ORDER BY at) AS lines FROM (
-            SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS at FROM lines)
-            WHERE at <= 3 GROUP BY sample_id"""),
+        f"""{W} SELECT sample_id, string_agg(l_linenumber || '.0', ',' ORDER BY place) AS lines FROM (
+            SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS place FROM lines)
+            WHERE place <= 3 GROUP BY sample_id"""),
     "g11_distinct": (
         distinct_values,
         f"{W} SELECT sample_id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lines GROUP BY sample_id"),
