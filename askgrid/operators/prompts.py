@@ -7,6 +7,7 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askgrid.functions.binding import let
 from askgrid.sources.templates import PROMPT_KINDS, template_table
 
 Templates = dict[str, dict[str, str]]
@@ -57,30 +58,43 @@ def segments(text: str) -> list[tuple[str, str | None]]:
     return [(literal, field) for literal, field, _, _ in Formatter().parse(text)]
 
 
-def fill(text: str, allowed: list[str]) -> Column | None:
-    """The filled template as one ``concat``; None if it asks for a field it may not use.
+def fillable(text: str, allowed: list[str]) -> list[tuple[str, str | None]] | None:
+    """The segments of a template; None if it asks for a field it may not use."""
+    parts = segments(text)
+    return parts if all(field is None or field in allowed for _, field in parts) else None
 
-    Fields are put in side by side, so braces inside a passage are never expanded.
+
+def _filled(route: Column, kind: Column, branches: dict[tuple[str, str], list[tuple[str, str | None]] | None]) -> Column:
+    """Fill the template of each row's route and kind; null where there is none.
+
+    The templates are one constant map, so the plan stays as small with thirty
+    templates as with one. Fields are put in side by side, so braces inside a
+    passage are never expanded.
     """
-    parts: list[Column] = []
-    for literal, field in segments(text):
-        if literal:
-            parts.append(F.lit(literal))
-        if field is not None:
-            if field not in allowed:
-                return None
-            parts.append(F.coalesce(F.col(field), F.lit("")))
-    return F.concat(*parts) if parts else F.lit("")
-
-
-def _by_route_and_kind(route: Column, kind: Column, branches: dict[tuple[str, str], Column | None]) -> Column:
-    out = None
-    for (r, k), value in branches.items():
-        if value is None:
-            continue
-        cond = (route == r) & (kind == k)
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return F.lit(None).cast("string") if out is None else out
+    known = {k: v for k, v in branches.items() if v is not None}
+    if not known:
+        return F.lit(None).cast("string")
+    entries: list[Column] = []
+    for (r, k), parts in known.items():
+        entries.append(F.lit(f"{r}/{k}"))
+        entries.append(F.array(*[
+            F.struct(F.lit(text).alias("text"), F.lit(field or "").alias("field")) for text, field in parts
+        ]))
+    parts = F.try_element_at(F.create_map(*entries), F.concat(route, F.lit("/"), kind))
+    longest = max(len(v) for v in known.values())
+
+    def joined(found: Column) -> Column:
+        pieces: list[Column] = []
+        for i in range(longest):
+            part = F.get(found, F.lit(i))
+            value = None
+            for field in KIND_FIELDS["full_prompt"]:
+                cond = part["field"] == field
+                value = F.when(cond, F.col(field)) if value is None else value.when(cond, F.col(field))
+            pieces += [F.coalesce(part["text"], F.lit("")), F.coalesce(value, F.lit(""))]
+        return F.when(found.isNotNull(), F.concat(*pieces))
+
+    return let(parts, joined)
 
 
 def inference_prompt(templates: Templates, route: Column | None = None) -> Column:
@@ -90,9 +104,9 @@ def inference_prompt(templates: Templates, route: Column | None = None) -> Colum
     """
     route = F.coalesce(F.nullif(route if route is not None else F.col("template"), F.lit("")), F.lit("template"))
     branches = {
-        (r, k): fill(keys[k], KIND_FIELDS[k]) for r, keys in templates.items() for k in PROMPT_KINDS if k in keys
+        (r, k): fillable(keys[k], KIND_FIELDS[k]) for r, keys in templates.items() for k in PROMPT_KINDS if k in keys
     }
-    return _by_route_and_kind(route, prompt_kind(), branches)
+    return _filled(route, prompt_kind(), branches)
 
 
 def training_target(use_tools: bool = True) -> Column:
@@ -112,9 +126,9 @@ def training_prompt(templates: Templates, use_tools: bool = True, route: str | N
         for k in kinds:
             if k in templates.get(r, {}):
                 fields = GENERIC_FIELDS[k] if r == "generic" else KIND_FIELDS[k]
-                branches[(r, k)] = fill(templates[r][k], fields)
+                branches[(r, k)] = fillable(templates[r][k], fields)
     at = F.lit(route) if route else F.col("template")
-    return F.concat(_by_route_and_kind(at, prompt_kind(), branches), training_target(use_tools))
+    return F.concat(_filled(at, prompt_kind(), branches), training_target(use_tools))
 
 
 def split_by_prompt(df: DataFrame, prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:

@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askgrid.functions.binding import let, settle
 from askgrid.functions.hashing import digest
-from askgrid.functions.numbers import bound_text, let, round2
+from askgrid.functions.numbers import bound_text, round2
 from askgrid.functions.questions import AGGREGATES, question
 from askgrid.schemas import SAMPLE, SAMPLE_FIELDS, blank_to_null
 from askgrid.sources.records import pack_rows, table_json, with_page
@@ -280,7 +281,7 @@ def answer_outputs(df: DataFrame, templates: dict) -> DataFrame:
         .when(digit == "b", F.concat(prompt, F.lit("  \n"), gold, F.lit(" \n</s>")))
         .otherwise(F.concat(prompt, gold, F.lit("</s>")))
     )
-    return df.withColumn("raw_output", output)
+    return settle(df, "raw_output", output)
 
 
 def route_outputs(df: DataFrame, templates: dict) -> DataFrame:
@@ -296,7 +297,7 @@ def route_outputs(df: DataFrame, templates: dict) -> DataFrame:
         .when(digit == "d", F.concat(prompt, F.lit("table</s>")))
         .otherwise(F.concat(prompt, route, F.lit("</s>")))
     )
-    return df.withColumn("raw_output", output)
+    return settle(df, "raw_output", output)
 
 
 def replies(df: DataFrame, templates: dict) -> DataFrame:
