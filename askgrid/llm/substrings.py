@@ -6,12 +6,14 @@ a symbol named by the digest of what it stands for. The class of a symbol is a b
 of its name, so every task gives equal runs and pairs the same name without asking
 the others, and equal substrings get the same symbols, except near their ends. For
 each symbol we keep the words that decide it; a window of words always holds the same
-symbols among those decided inside it, wherever it occurs. Its anchor is the
-leftmost one of the highest round.
+symbols among those decided inside it, wherever it occurs. Its anchor is made of the
+first two of round two if there are as many, else of the first three of round one,
+else of all its words: rare enough to tell texts apart, and often the same for the
+next window, so that there are half as many anchors as windows.
 
 Spark then works in three rounds over groups of documents of constant size:
 names   the anchors of each group; an anchor in a single document ends the matter;
-windows the 128-bit digests of the windows with a shared anchor, and the smallest
+windows the 96-bit digests of the windows with a shared anchor, and the smallest
         document of each group that has them;
 cover   windows that a smaller document has cover their words.
 Names travel as sorted arrays of numbers, one per pair of group and bucket: a
@@ -36,6 +38,7 @@ ROUNDS = 2
 #: Words worked on at once, whatever the size of a group.
 STEP_WORDS = 1 << 20
 
+ZSTD = "zstd"
 _M1, _M2, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -106,28 +109,31 @@ def window_anchors(names: np.ndarray, doc: np.ndarray, starts: np.ndarray, windo
     """The anchor's name for each window start."""
     at = np.arange(len(names), dtype=np.int64)
     symbols = (names, at, at + 1, doc)
-    anchors = names[starts]
-    for k in range(rounds):
-        symbols = compress(*symbols, k)
+    anchors = np.zeros(len(starts), dtype=np.uint64)
+    for k in range(rounds + 1):
         name, left, right, _ = symbols
-        j = np.searchsorted(left, starts)
-        inside = j < len(name)
-        j = np.minimum(j, len(name) - 1) if len(name) else j
-        inside &= right[j] <= starts + window if len(name) else False
-        with np.errstate(over="ignore"):
-            anchors = np.where(inside, _mix(name[j] + np.uint64(k + 1)), anchors)
+        first = np.searchsorted(left, starts)
+        take = (window, 3, 2)[min(k, 2)]
+        chosen = np.flatnonzero(np.searchsorted(right, starts + window, side="right") - first >= take)
+        key = np.full(len(chosen), k + 1, dtype=np.uint64)
+        for t in range(take):
+            with np.errstate(over="ignore"):
+                key = _mix(key * _M1 + name[first[chosen] + t])
+        anchors[chosen] = key
+        if k < rounds:
+            symbols = compress(*symbols, k)
     return anchors
 
 
 def window_digests(names: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit digests of the words of each window."""
+    """Two independent digests of the words of each window, of 64 and 32 bits."""
     one, two = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.uint64)
     other = _mix(names ^ _M2)
     with np.errstate(over="ignore"):
         for k in range(window):
             one = one * _M1 + names[starts + k]
             two = (two ^ (two >> np.uint64(29))) * _M2 + other[starts + k]
-    return _mix(one), _mix(two)
+    return _mix(one), (_mix(two) >> np.uint64(32)).astype(np.uint32)
 
 
 class Windows:
@@ -175,6 +181,22 @@ def _folded(keys: list[np.ndarray], ids: list[np.ndarray]):
     return [k[first] for k in keys], ids[first], ids[last]
 
 
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """The columns, byte by byte of all their numbers, so that sorted and small numbers compress."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes, codec=ZSTD, asbytes=True)
+
+
+def _columns(data: bytes, types: list[str]) -> list[np.ndarray]:
+    n, sizes = int.from_bytes(data[:8], "little"), [np.dtype(t).itemsize for t in types]
+    planes = np.frombuffer(pa.decompress(data[8:], n * sum(sizes), codec=ZSTD, asbytes=True), dtype=np.uint8)
+    out, at = [], 0
+    for t, size in zip(types, sizes):
+        out.append(np.ascontiguousarray(planes[at:at + n * size].reshape(size, n).T).view(t).reshape(n))
+        at += n * size
+    return out
+
+
 def _blobs(group: int, buckets: int, key: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
     """The sorted keys, cut into equal ranges of the key space, each with its columns, as one row per range."""
     width = (1 << 64) // buckets + 1
@@ -184,7 +206,7 @@ def _blobs(group: int, buckets: int, key: np.ndarray, columns: list[np.ndarray])
         if e > s:
             rows["bucket"].append(bucket)
             rows["grp"].append(group)
-            rows["data"].append(b"".join(c[s:e].tobytes() for c in columns))
+            rows["data"].append(_packed([c[s:e] for c in columns]))
     return pa.table(rows, schema=BLOB)
 
 
@@ -193,15 +215,6 @@ REPLY = pa.schema([("grp", pa.int32()), ("data", pa.binary())])
 BLOB_DDL, REPLY_DDL = "bucket int, grp int, data binary", "grp int, data binary"
 
 
-def _columns(data: bytes, types: list[str]) -> list[np.ndarray]:
-    n = len(data) // sum(np.dtype(t).itemsize for t in types)
-    out, at = [], 0
-    for t in types:
-        out.append(np.frombuffer(data, dtype=t, count=n, offset=at))
-        at += n * np.dtype(t).itemsize
-    return out
-
-
 def _gathered(table: pa.Table, types: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     parts = [_columns(x.as_py(), types) for x in table.column("data")]
     columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(types)]
@@ -214,7 +227,7 @@ def _replies(groups: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
     order = np.argsort(groups, kind="stable")
     groups, columns = groups[order], [c[order] for c in columns]
     first, last = _bounds(_changes(groups))
-    data = [b"".join(c[s:e + 1].tobytes() for c in columns) for s, e in zip(first, last)]
+    data = [_packed([c[s:e + 1] for c in columns]) for s, e in zip(first, last)]
     return pa.table({"grp": groups[first].astype(np.int32), "data": data}, schema=REPLY)
 
 
@@ -312,20 +325,20 @@ def without_repeats(
         return _blobs(_group_of(left), buckets, one, [one, two, low, (low != high).astype(np.uint8)])
 
     def repeats(table: pa.Table) -> pa.Table:
-        (one, two, low, several), grp = _gathered(table, ["u8", "u8", "i8", "u1"])
+        (one, two, low, several), grp = _gathered(table, ["u8", "u4", "i8", "u1"])
         order = np.lexsort([low, two, one])
         one, two, low, several, grp = one[order], two[order], low[order], several[order].astype(bool), grp[order]
         first, last = _bounds(_changes(one, two))
         least = np.repeat(low[first], last - first + 1)
         tell = (least < low) | several
-        return _replies(grp[tell], [(one ^ _mix(two))[tell], least[tell]])
+        return _replies(grp[tell], [(one ^ _mix(two.astype(np.uint64)))[tell], least[tell]])
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"n_words": [], "n_removed": [], "spans": [], "kept": []}
         known, least = _known(right, ["u8", "i8"])
         for tokens, w in _stretches(left, window) if left.num_rows else ():
             one, two = window_digests(w.names, w.starts, window)
-            there, at = _among(one ^ _mix(two), known)
+            there, at = _among(one ^ _mix(two.astype(np.uint64)), known)
             hit = w.starts[there][least[at[there]] < w.owner[there]]
             step = np.zeros(len(w.names) + 1, dtype=np.int64)
             np.add.at(step, hit, 1)
