@@ -1,7 +1,7 @@
 """Token ids as flat binary files.
 
 A store is a folder of shards. Shard ``k`` has ``ids-k.bin``, unsigned little-endian
-integers without any header, ``offsets-k.bin``, unsigned 64-bit positions in that file of
+integers without any header (16 bits wide if the vocabulary allows, else 32), ``offsets-k.bin``, unsigned 64-bit positions in that file of
 the start of each document and of the end, and ``docs-k.bin``, the documents' signed
 64-bit ids. Shards are ranges of ascending ids; the number of ids before a shard, its
 base, is the prefix sum of the counts of those before it.
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import uuid
 from zlib import crc32
 
@@ -24,31 +26,51 @@ from tokenizers import Tokenizer
 
 from askgrid.llm.common import NO_ID, partitions_of
 
-#: Pieces whose ids a task remembers before it starts afresh; it only saves time.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers before it starts afresh; it only saves time.
+REMEMBERED = 800_000
+#: Texts encoded at once.
+TEXTS = 200
 #: A store is written in pieces of this many bytes.
 CHUNK = 8 << 20
-_BLANK = re.compile("[ \n]+")
+# A mark that ends a word before a blank is a token of its own, so a blank may part them.
+_END_MARK = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=[ \n]|$)")
+_BLANK = re.compile(rb"[ \n]+")
+
+
+def width_of(tokenizer: Tokenizer, end: int) -> int:
+    """Bytes of an id: two if the vocabulary allows, else four."""
+    return 2 if max(tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
 
 
 class WordTokenizer:
     """A ``tokenizers`` tokenizer applied to pieces of a text between blanks.
 
-    Exact for a tokenizer that drops white space before it merges: no token spans a
-    blank. Each piece that a task meets for the first time is encoded by the library.
+    Exact for a tokenizer that lower-cases and drops white space before it merges: no
+    token spans a blank, and letters A-Z may be lower-cased before. Each piece that a
+    worker meets for the first time is encoded by the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.width = width_of(self.tokenizer, end)
+        self.known: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def of_worker(path: str, end: int) -> WordTokenizer:
+        """One for all tasks that a worker runs: it keeps what it has seen."""
+        held = sys.modules.setdefault("askgrid_word_tokenizers", types.ModuleType("askgrid_word_tokenizers"))
+        key = f"{path}|{end}"
+        if key not in held.__dict__:
+            held.__dict__[key] = WordTokenizer(path, end)
+        return held.__dict__[key]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [_BLANK.split(t) for t in texts]
+        pieces = [_BLANK.split(_END_MARK.sub(rb" \1", t.encode("utf-8").lower())) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known.clear()
         new = list({p for ps in pieces for p in ps if p not in self.known})
-        for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
+        for piece, e in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)):
+            self.known[piece] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
         known = self.known
         return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
 
@@ -115,14 +137,15 @@ def write_token_files(
     dealt = rows.repartitionByRange(shards, "id", "digest").sortWithinPartitions("id", "digest").select("id", "text")
 
     def write(batches):
-        encode, mark, shard = WordTokenizer(tokenizer), np.array([end], "<u4").tobytes(), None
+        encode, shard = WordTokenizer.of_worker(tokenizer, end), None
+        mark = np.array([end], f"<u{encode.width}").tobytes()
         for batch in batches:
             if batch.num_rows and shard is None:
-                shard = Shard(folder, TaskContext.get().partitionId(), 4)
+                shard = Shard(folder, TaskContext.get().partitionId(), encode.width)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for k in range(0, batch.num_rows, 1000):
-                texts = batch.column("text").slice(k, 1000).to_pylist()
-                shard.add(ids[k:k + 1000], [t + mark for t in encode(texts)])
+            for k in range(0, batch.num_rows, TEXTS):
+                texts = batch.column("text").slice(k, TEXTS).to_pylist()
+                shard.add(ids[k:k + TEXTS], [t + mark for t in encode(texts)])
         if shard is not None:
             yield pa.RecordBatch.from_pylist([shard.close()], schema=pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
@@ -149,7 +172,7 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[tuple[int, i
     """``(id, start, n_tokens, ids_crc32)`` of each document, from the files of a store.
 
     ``start`` counts the ids of all documents before it, ``ids_crc32`` is the unsigned
-    CRC-32 of its ids' bytes. One task reads one shard, a document at a time.
+    CRC-32 of its ids as 32-bit integers. One task reads one shard, a document at a time.
     """
     kind = "id long, start long, n_tokens long, ids_crc32 long"
     if not shards:
@@ -160,12 +183,15 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[tuple[int, i
         for batch in batches:
             for row in batch.to_pylist():
                 name = f"{row['shard']:06d}.bin"
-                ids, offsets, docs = (mapped(folder, f"{f}-{name}", t) for f, t in (("ids", "<u4"), ("offsets", "<u8"), ("docs", "<i8")))
+                raw, offsets, docs = (mapped(folder, f"{f}-{name}", t) for f, t in (("ids", "u1"), ("offsets", "<u8"), ("docs", "<i8")))
+                if row["ids"] and len(raw) not in (2 * row["ids"], 4 * row["ids"]):
+                    raise ValueError(f"shard {row['shard']} of {folder} isn't whole")
+                ids = raw.view(f"<u{len(raw) // max(1, row['ids']) or 4}")
                 if len(ids) != row["ids"] or len(docs) != row["docs"] or len(offsets) != len(docs) + 1 or offsets[-1] != len(ids):
                     raise ValueError(f"shard {row['shard']} of {folder} isn't whole")
                 for k in range(0, len(docs), 50_000):
                     at = offsets[k:k + 50_001].astype(np.int64)
-                    sums = [crc32(ids[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+                    sums = [crc32(ids[s:e].astype("<u4")) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
                     own = docs[k:k + 50_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(own, mask=own == NO_ID), pa.array(row["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())],
