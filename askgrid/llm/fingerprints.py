@@ -40,17 +40,36 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = IDF
     return written(counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("term"), "lexicon")
 
 
-def subset_hashes(terms: Column) -> Column:
-    """One hash per seed and rate over sorted distinct terms; null where a subset has none of them."""
-    slots = []
-    for seed in range(SEEDS):
-        drawn = F.array_sort(F.transform(terms, lambda t: F.xxhash64(t, F.lit(seed))))
-        for rate in range(RATES):
-            mask = F.lit((1 << rate) - 1)
-            slots.append((drawn, mask))
-    return F.array(*[
-        F.when(F.size(kept) > 0, F.xxhash64(kept))
-        for kept in (F.filter(drawn, lambda x: x.bitwiseAND(mask) == 0) for drawn, mask in slots)
+#: What Spark's xxhash64 gives for an array without elements.
+EMPTY = 42
+
+
+def with_subset_hashes(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """Each array of distinct terms replaced by one hash per seed and rate; null where a subset has no term.
+
+    A seed draws a number for every term; a rate keeps the terms whose number ends in so
+    many zero bits. The subsets of a seed are nested, so each rate filters what the
+    rate before it has left, sorted by the drawn numbers.
+    """
+    key = [c for c in df.columns if c not in kinds]
+    drawn = {
+        f"{kind}_{seed}_0": F.array_sort(F.transform(F.array_sort(kind), lambda t: F.xxhash64(t, F.lit(seed))))
+        for kind in kinds for seed in range(SEEDS)
+    }
+    df = df.select(*key, *[c.alias(n) for n, c in drawn.items()])
+    for rate in range(1, RATES):
+        bit = F.lit(1 << (rate - 1))
+        df = df.withColumns({
+            f"{kind}_{seed}_{rate}": F.filter(f"{kind}_{seed}_{rate - 1}", lambda x: x.bitwiseAND(bit) == 0)
+            for kind in kinds for seed in range(SEEDS)
+        }).withColumns({
+            f"{kind}_{seed}_{rate - 1}": F.nullif(F.xxhash64(f"{kind}_{seed}_{rate - 1}"), F.lit(EMPTY))
+            for kind in kinds for seed in range(SEEDS)
+        })
+    last = RATES - 1
+    df = df.withColumns({f"{kind}_{seed}_{last}": F.nullif(F.xxhash64(f"{kind}_{seed}_{last}"), F.lit(EMPTY)) for kind in kinds for seed in range(SEEDS)})
+    return df.select(*key, *[
+        F.array(*[F.col(f"{kind}_{seed}_{rate}") for seed in range(SEEDS) for rate in range(RATES)]).alias(kind) for kind in kinds
     ])
 
 
@@ -70,7 +89,7 @@ def fingerprints(rows: DataFrame, key: list[str], texts: dict[str, str], words:
     gathered = hits.groupBy(*key).agg(*[
         F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(kind) for k, kind in enumerate(kinds)
     ])
-    return gathered.select(*key, *[subset_hashes(F.array_sort(kind)).alias(kind) for kind in kinds])
+    return with_subset_hashes(gathered, kinds)
 
 
 def shown(slots: Column, digest: Column) -> Column:
