@@ -148,9 +148,10 @@ def with_next(rows: DataFrame, columns: list[str], tag: str) -> DataFrame:
         F.col("at"), F.element_at("parts", (F.col("k") + 1) % F.size("parts") + 1).alias("part")
     )
     heads = heads.join(ring, "part").drop("part").withColumnRenamed("at", "part")
-    ended = F.col("in_place").isNull()
-    joined = own.withColumn("edge", F.when(ended, F.col("part"))).join(heads.withColumnRenamed("part", "edge"), "edge", "left")
-    return joined.select(*rows.columns, *[F.when(ended, F.col(f"of_{c}")).otherwise(F.col(f"in_{c}")).alias(f"next_{c}") for c in columns])
+    inner = own.where(F.col("in_place").isNotNull()).select(*rows.columns, *[F.col(f"in_{c}").alias(f"next_{c}") for c in columns])
+    # Only the last row of each range is joined: the texts of the others stay where they are.
+    ended = own.where(F.col("in_place").isNull()).select(rows.columns)
+    return inner.union(ended.join(heads, "part").select(*rows.columns, *[F.col(f"of_{c}").alias(f"next_{c}") for c in columns]))
 
 
 def edited_text() -> Column:
