@@ -25,16 +25,21 @@ def with_rank(df: DataFrame, order: str, groups: list[str] | None = None, name:
     offsets = (
         bucketed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("rank_n"))
-        .select(*keys, F.coalesce(F.sum("rank_n").over(before), F.lit(0)).alias("rank_offset"))
+        .select(
+            *[F.col(k).alias(f"rank_key_{n}") for n, k in enumerate(keys)],
+            F.coalesce(F.sum("rank_n").over(before), F.lit(0)).alias("rank_offset"),
+        )
     )
     if not groups:
         offsets = F.broadcast(offsets)
     inside = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
+    # A null is a group like any other.
+    same = [F.col(k).eqNullSafe(F.col(f"rank_key_{n}")) for n, k in enumerate(keys)]
     return (
         bucketed.withColumn("rank_inside", inside)
-        .join(offsets, keys)
+        .join(offsets, same)
         .withColumn(name, F.col("rank_inside") + F.col("rank_offset"))
-        .drop("rank_bucket", "rank_inside", "rank_offset")
+        .drop("rank_bucket", "rank_inside", "rank_offset", *[f"rank_key_{n}" for n in range(len(keys))])
     )
 
 

@@ -135,3 +135,20 @@ def test_stream_matches_batch_and_ignores_late_tokens(spark):
     streamed = sorted(map(tuple, spark.read.parquet(out).collect()))
     assert streamed == sorted(map(tuple, prefixes(tokens).collect()))
     assert streamed[-1] == ("r", 3, "### Response:abc")
+
+
+def test_a_null_group_keeps_its_rows(spark):
+    from pyspark.sql import functions as F
+
+    from askgrid.operators.ranking import with_rank
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "source string, n int").withColumn("d", F.md5(F.col("n").cast("string")))
+    assert sorted((r["source"] or "", r["rank"]) for r in with_rank(df, "d", ["source"]).collect()) == [("", 0), ("", 1), ("a", 0), ("a", 1)]
+
+
+def test_one_reply_of_several_is_attached(spark):
+    from askgrid.operators.replies import attach_reply
+
+    samples = spark.createDataFrame([("s",), ("t",)], "sample_id string")
+    replies = spark.createDataFrame([("s", "answer", "x"), ("s", "answer", "y"), ("s", "route", "z")], "sample_id string, stage string, output string")
+    assert sorted(map(tuple, attach_reply(samples, replies, "answer", "out").collect())) == [("s", "y"), ("t", None)]
