@@ -13,10 +13,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm.common import partitions_of
+from askgrid.llm.common import written
 
 VERSION = b"WARC/1.1"
 #: Two line ends close a record, and the next one begins.
@@ -25,6 +25,8 @@ SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 #: Smallest payload that a revisit record may stand for.
 REVISIT_BYTES = 1000
+#: Parts into which the rows of one payload are split where they are joined.
+SALTS = 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -90,6 +92,15 @@ def records(page_id, url, html: bytes, digest: str, refers_to, date: str, segmen
     return out
 
 
+def _salt(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+
+
+def _salts() -> Column:
+    """One row for each salt."""
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html",
     date: str = "2024-01-01T00:00:00Z", segment_bytes: int = SEGMENT_BYTES, revisit_bytes: int = REVISIT_BYTES,
@@ -106,9 +117,10 @@ def write_archives(
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url).alias("url"), body.alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    large = F.octet_length("html") >= revisit_bytes
-    newest = rows.where(large).groupBy("digest").agg(F.max("order").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.withColumn("again", F.when(large, F.col("digest"))).join(newest.select(F.col("digest").alias("again"), "newest"), "again", "left")
+    large = rows.where(F.octet_length("html") >= revisit_bytes)
+    newest = large.groupBy("digest").agg(F.max("order").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # A payload that a third of all rows share is met by SALTS tasks.
+    joined = rows.withColumn("salt", _salt("id")).join(newest.withColumn("salt", _salts()), ["digest", "salt"], "left")
     refers = F.when(~F.col("order").eqNullSafe(F.col("newest")), F.col("newest").cast("string"))
 
     def lay(batches):
@@ -133,6 +145,13 @@ PARSED_DDL = (
     "record_id string, record_type string, target_uri string, digest string, refers_to string,"
     " origin_id string, number int, total long, whole boolean, block binary"
 )
+#: What a record's payload adds to it.
+PAYLOAD = pa.schema([("payload", pa.binary()), ("sha1", pa.string()), ("size", pa.int64())])
+PAYLOAD_DDL = "payload binary, sha1 string, size long"
+READ = pa.schema([*PARSED, *PAYLOAD])
+#: A record after its segments are put together.
+WHOLE = pa.schema([*[PARSED.field(c) for c in ("record_id", "record_type", "target_uri", "digest", "refers_to", "whole")], *PAYLOAD])
+WHOLE_DDL = f"record_id string, record_type string, target_uri string, digest string, refers_to string, whole boolean, {PAYLOAD_DDL}"
 
 
 def parsed(data: bytes) -> dict | None:
@@ -166,27 +185,43 @@ def payload_of(block: bytes) -> bytes | None:
     return dechunked(body) if b"transfer-encoding:chunked" in lines else body
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below ``path`` as ``PARSED``; other pieces are left out."""
+def decoded(record_type: str | None, block: bytes) -> dict:
+    """The payload in a whole block, its SHA-1 and its size; nulls for revisits and broken framing."""
+    payload = None if record_type == "revisit" else payload_of(block)
+    if payload is None:
+        return {"payload": None, "sha1": None, "size": None}
+    return {"payload": payload, "sha1": hashlib.sha1(payload).hexdigest(), "size": len(payload)}
+
+
+def read_records(spark: SparkSession, path: str, all_blocks: bool = True) -> DataFrame:
+    """Every record of the archives below ``path`` as ``READ``; other pieces are left out.
+
+    Records that are not segments come with their payload, its SHA-1 and its size; without
+    ``all_blocks`` only segments keep their block.
+    """
     pieces = spark.read.option("lineSep", BETWEEN + VERSION.decode() + "\r\n").text(path)
 
     def parse(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                found = [parsed(x.as_py()) for x in batch.column("value").slice(k, 500)]
-                yield pa.RecordBatch.from_pylist([x for x in found if x], schema=PARSED)
+                found = [x for x in map(parsed, batch.column("value").slice(k, 500).to_pylist()) if x]
+                for record in found:
+                    if record["number"] is None:
+                        record |= decoded(record["record_type"], record["block"])
+                        if not all_blocks:
+                            record["block"] = None
+                yield pa.RecordBatch.from_pylist(found, schema=READ)
 
-    return pieces.select(F.col("value").cast("binary")).mapInArrow(parse, PARSED_DDL)
+    return pieces.select(F.col("value").cast("binary")).mapInArrow(parse, f"{PARSED_DDL}, {PAYLOAD_DDL}")
 
 
 def reassembled(found: DataFrame) -> DataFrame:
-    """Whole records: segments are put in order behind the record they continue.
+    """Segmented records put together: segments in order behind the record they continue.
 
     ``whole`` says whether nothing is missing: every segment has its length, the numbers
     run from 1 without a gap, and the lengths add up to the total. Repeated segments
     count once. The segments of one record meet in one task; a record is the bound.
     """
-    plain = found.where("number is null").drop("number", "total", "origin_id")
     first = found.where("number = 1").select("record_id", "record_type", "target_uri", "digest", "refers_to", F.col("whole").alias("own"), F.col("block").alias("head"))
     later = found.where("number > 1").groupBy(F.col("origin_id").alias("record_id")).agg(
         F.array_sort(F.collect_set(F.struct("number", "block"))).alias("parts"), F.min("whole").alias("parts_whole"), F.max("total").alias("total")
@@ -194,12 +229,10 @@ def reassembled(found: DataFrame) -> DataFrame:
     joined = first.join(later, "record_id", "left")
     block = F.aggregate("parts", F.col("head"), lambda a, p: F.concat(a, p["block"]))
     ordered = F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(2), F.size("parts") + 1)
-    put = joined.withColumn("block", F.coalesce(block, "head")).select(
+    return joined.withColumn("block", F.coalesce(block, "head")).select(
         "record_id", "record_type", "target_uri", "digest", "refers_to",
         F.coalesce(F.col("own") & F.col("parts_whole") & ordered & (F.octet_length("block") == F.col("total")), F.lit(False)).alias("whole"), "block",
     )
-    return plain.unionByName(put)
-
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, record_type, target_uri, refers_to, digest, payload, payload_bytes, verified`` per record.
@@ -208,28 +241,32 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     those of the record that they refer to. ``verified``: whole, and of the digest that
     the header has (a revisit: that of the record it refers to).
     """
-    blocks = reassembled(read_records(spark, path))
+    found = written(read_records(spark, path, all_blocks=False), "warc-records")
 
     def decode(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                found = [payload_of(b) if kind != "revisit" else None for b, kind in zip(part.column("block").to_pylist(), part.column("record_type").to_pylist())]
-                sums = [None if p is None else hashlib.sha1(p).hexdigest() for p in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("record_id", "record_type", "target_uri", "refers_to", "digest", "whole")), pa.array(found, pa.binary()), pa.array(sums, pa.string())],
-                    names=["record_id", "record_type", "target_uri", "refers_to", "digest", "whole", "payload", "sha1"],
-                )
-
-    read = blocks.mapInArrow(decode, "record_id string, record_type string, target_uri string, refers_to string, digest string, whole boolean, payload binary, sha1 string")
-    read = read.withColumn("size", F.octet_length("payload").cast("long"))
-    first = read.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("size").alias("first_size"), F.max("sha1").alias("first_sha1"))
-    joined = read.join(first, "refers_to", "left")
-    seen = F.coalesce("sha1", "first_sha1")
-    return joined.select(
-        "record_id", "record_type", "target_uri", "refers_to", "digest", "payload", F.coalesce("size", "first_size").alias("payload_bytes"),
-        F.coalesce(F.col("whole") & (seen == F.col("digest")), F.lit(False)).alias("verified"),
+                part = batch.slice(k, 500).to_pylist()
+                yield pa.RecordBatch.from_pylist([r | decoded(r["record_type"], r["block"]) for r in part], schema=WHOLE)
+
+    put = reassembled(found).mapInArrow(decode, WHOLE_DDL)
+    read = found.where("number is null").select(put.columns).unionByName(put)
+    seen = F.coalesce(F.col("whole") & (F.col("sha1") == F.col("digest")), F.lit(False))
+    own = read.where("refers_to is null").select(
+        "record_id", "record_type", "target_uri", "refers_to", "digest", "payload", F.col("size").alias("payload_bytes"), seen.alias("verified"),
+    )
+    # Revisits have no body. Of the responses only those that some revisit names are laid out for every salt.
+    again = read.where("refers_to is not null").drop("payload", "sha1", "size")
+    named = again.select(F.col("refers_to").alias("record_id")).distinct()
+    first = (
+        read.where("record_type = 'response'").select("record_id", "size", "sha1").join(named, "record_id", "left_semi")
+        .groupBy(F.col("record_id").alias("refers_to")).agg(F.max("size").alias("size"), F.max("sha1").alias("sha1")).withColumn("salt", _salts())
+    )
+    revisits = again.withColumn("salt", _salt("record_id")).join(first, ["refers_to", "salt"], "left").select(
+        "record_id", "record_type", "target_uri", "refers_to", "digest", F.lit(None).cast("binary").alias("payload"),
+        F.col("size").alias("payload_bytes"), seen.alias("verified"),
     )
+    return own.unionByName(revisits)
 
 
 def page_of(record_id: str):
