@@ -15,7 +15,7 @@ IDS = ["sample_id", "source", "template"]
 
 
 def lengths(spark, sf):
-    rows = X.text_samples(spark, sf).withColumn("prompt", P.inference_prompt(TOOLS))
+    rows = X.samples(spark, sf).withColumn("prompt", P.inference_prompt(TOOLS))
     return S.split_by_length(rows.withColumn("n_tokens", token_count(F.col("prompt"))))
 
 
@@ -26,7 +26,7 @@ def length_gate(spark, sf):
 
 
 def budget_gate(spark, sf):
-    rows = X.text_samples(spark, sf).withColumn("prompt", P.inference_prompt(CHAT, F.lit("generic-3")))
+    rows = X.samples(spark, sf).withColumn("prompt", P.inference_prompt(CHAT, F.lit("generic-3")))
     chat = rows.withColumn("messages", P.chat_messages(CHAT, F.col("prompt")))
     counted = chat.withColumn("n_tokens", token_count(P.chat_text(F.col("messages")), begin=False))
     return S.split_by_length(counted, limit=4096)[0].select("sample_id", "n_tokens")
@@ -79,11 +79,11 @@ QUERIES = {
         f"{SAMPLES} SELECT sample_id, coalesce(derivation_eval, derivation_sql) AS gold_eval FROM samples"),
     "b6_length_gate": (
         length_gate,
-        f"""{TEXT_SAMPLES} SELECT sample_id, n_tokens, n_tokens < 1024 AS kept
+        f"""{SAMPLES} SELECT sample_id, n_tokens, n_tokens < 1024 AS kept
             FROM (SELECT sample_id, {COUNT.format('prompt')} AS n_tokens FROM (SELECT *, {inference_sql(TOOLS)} AS prompt FROM samples))"""),
     "b7_budget_gate": (
         budget_gate,
-        f"""{TEXT_SAMPLES} SELECT * FROM (SELECT sample_id,
+        f"""{SAMPLES} SELECT * FROM (SELECT sample_id,
               {COUNT.format(f"({SYSTEM} || chr(10) || prompt || chr(10))")} - 1 AS n_tokens
             FROM (SELECT *, {CHAT_PROMPT} AS prompt FROM samples)) WHERE n_tokens < 4096"""),
     "b8_example_rows": (
