@@ -15,9 +15,9 @@ def digest(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
 
 
-def hash32(*parts: Column | str | int) -> Column:
-    """The first 32 bits of :func:`digest` as a bigint."""
-    return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast(T.LongType())
+def hash60(*parts: Column | str | int) -> Column:
+    """The first 60 bits of :func:`digest` as a bigint."""
+    return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast(T.LongType())
 
 
 def question_key(names: list[str] = KEY_FIELDS) -> Column:

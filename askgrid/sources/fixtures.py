@@ -16,7 +16,7 @@ from askgrid.functions.hashing import digest
 from askgrid.functions.numbers import bound_text, round2
 from askgrid.functions.questions import AGGREGATES, question
 from askgrid.schemas import SAMPLE, SAMPLE_FIELDS, blank_to_null
-from askgrid.sources.records import pack_rows, table_json, with_page
+from askgrid.sources.records import pack_rows, table_json
 
 LINE_KEYS = ["l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -34,16 +34,11 @@ def pick_of(values: list[str], at: Column) -> Column:
 
 
 def order_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """One record table per order: ``sample_id, l_orderkey, page, data``.
+    """One record table per order: ``sample_id, l_orderkey, data``.
 
     Every other order has no ``types``, so its column types must be inferred.
     """
-    lines = with_page(
-        read(spark, folder, "lineitem").select(
-            "l_orderkey", *LINE_KEYS, "l_returnflag", "l_quantity", "l_extendedprice"
-        ),
-        "l_orderkey", LINE_KEYS,
-    )
+    lines = read(spark, folder, "lineitem")
     rows = pack_rows(
         LINE_KEYS,
         [
@@ -55,11 +50,11 @@ def order_tables(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey") % 2 == 0, F.array(*[F.lit(t) for t in ("real", "text", "real", "real")])
     )
     return (
-        lines.groupBy("l_orderkey", "page")
+        lines.groupBy("l_orderkey")
         .agg(rows.alias("rows"))
         .select(
-            F.concat(F.lit("sql-"), "l_orderkey", F.lit("-"), "page").alias("sample_id"),
-            "l_orderkey", "page",
+            F.concat(F.lit("sql-"), "l_orderkey").alias("sample_id"),
+            "l_orderkey",
             table_json(["line", "flag", "quantity", "price"], F.col("rows"), typed).alias("data"),
         )
     )
@@ -238,15 +233,6 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     return finish(reduce(DataFrame.unionByName, parts))
 
 
-def text_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """The samples whose question is prose: chats, sentiments and passages."""
-    chats, passages = chat_samples(spark, folder), passage_samples(spark, folder)
-    parts = [
-        chats, sentiment_samples(spark, folder), passages, routing_samples(chats), routing_samples(passages),
-    ]
-    return finish(reduce(DataFrame.unionByName, parts))
-
-
 def token_stream(spark: SparkSession, folder: str) -> DataFrame:
     """One reply per conversation turn as tokens, with an end mark and a few tokens after it."""
     turns = read(spark, folder, "conversations")

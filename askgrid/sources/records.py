@@ -4,36 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from askgrid.functions.hashing import hash32
-
-MAX_ROWS = 1000
-HEAVY_KEYS = 100_000
-
-
-def with_page(
-    df: DataFrame, key: str, identity: list[str], max_rows: int = MAX_ROWS, heavy_keys: int = HEAVY_KEYS
-) -> DataFrame:
-    """Add ``page``: 0 for ordinary keys, spread over many pages for heavy ones.
-
-    A key with more than ``max_rows`` rows would make one task build one huge
-    value. The heaviest ``heavy_keys`` such keys are counted (map-side first) and
-    broadcast: the list has a fixed length, and a key below it holds at most
-    1/``heavy_keys`` of the table, so its single page stays small in any case.
-    """
-    heavy = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_rows)
-        .orderBy(F.desc("n"), key)
-        .limit(heavy_keys)
-        .select(key, F.ceil(F.col("n") / max_rows).alias("pages"))
-    )
-    page = F.when(
-        F.col("pages").isNotNull(), F.pmod(hash32(*[F.col(c) for c in identity]), F.col("pages"))
-    ).otherwise(F.lit(0).cast(T.LongType()))
-    return df.join(F.broadcast(heavy), key, "left").withColumn("page", page).drop("pages")
 
 
 def table_json(header: list[str], rows: Column, types: Column) -> Column:
@@ -48,6 +18,10 @@ def table_json(header: list[str], rows: Column, types: Column) -> Column:
 
 
 def pack_rows(order: list[str], columns: list[Column]) -> Column:
-    """Aggregate: the group's rows as arrays of text, in the given order."""
+    """Aggregate: the group's rows as arrays of text, in the given order.
+
+    A record is one value however many rows it has, so that its question gets one answer;
+    a table too large for a value is asked with ``run_sql`` instead.
+    """
     packed = F.collect_list(F.struct(*order, F.array(*columns).alias("row")))
     return F.transform(F.array_sort(packed), lambda s: s["row"])

@@ -20,16 +20,19 @@ KEEP_MILLISECONDS = 3_600_000
 def prefixes(tokens: DataFrame) -> DataFrame:
     """All prefixes of every request at once: ``(request_id, pos, output)``.
 
-    The end mark and everything after it gives no prefix. Rows of one request stay
-    together, as one reply is one value anyway; running text is built in order.
+    The end mark and everything after it gives no prefix. A reply's text, one value, is
+    built once per request; its prefixes are cut at the running length of the tokens.
     """
     ends = tokens.where(F.col("token") == END_MARK).groupBy("request_id").agg(F.min("pos").alias("end_pos"))
     live = tokens.join(ends, "request_id", "left").where(
         F.col("end_pos").isNull() | (F.col("pos") < F.col("end_pos"))
     )
-    so_far = W.partitionBy("request_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return live.select(
-        "request_id", "pos", F.array_join(F.collect_list("token").over(so_far), "").alias("output")
+    so_far = W.partitionBy("request_id").orderBy("pos", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.coalesce(F.sum(F.length("token")).over(so_far), F.lit(0)).cast("int")
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    texts = live.groupBy("request_id").agg(F.array_join(F.transform(in_order, lambda t: t["token"]), "").alias("text"))
+    return live.select("request_id", "pos", upto.alias("upto")).join(texts, "request_id").select(
+        "request_id", "pos", F.substring(F.col("text"), F.lit(1), F.col("upto")).alias("output")
     )
 
 
@@ -38,7 +41,11 @@ def _advance(
 ) -> Iterator[pd.DataFrame]:
     """Add a request's new tokens in order; out-of-order ones wait for their turn."""
     if state.hasTimedOut:
-        state.remove()
+        # Only ended requests go; the text of the others waits for their next token.
+        if state.get[0]:
+            state.remove()
+        else:
+            state.update(state.get)
         return
     done, text, upcoming, waiting = state.get if state.exists else (False, "", 0, {})
     waiting = dict(waiting or {})
@@ -65,8 +72,8 @@ def _advance(
 def growing_replies(tokens: DataFrame, keep_ms: int | None = KEEP_MILLISECONDS) -> DataFrame:
     """Streaming twin of :func:`prefixes`, one state per request.
 
-    A continuous stream drops a request ``keep_ms`` after its last token. Pass None
-    for a run that ends with its input (``availableNow``): a pending timeout would
+    A continuous stream forgets an ended request ``keep_ms`` after its last token and
+    keeps the others, so that no reply loses a part however late it comes. Pass None for a run that ends with its input (``availableNow``): a pending timeout would
     keep such a run alive.
     """
 

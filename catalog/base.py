@@ -13,26 +13,16 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-HASH32 = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
-
-LINES = f"""
-heavy AS (
-  SELECT l_orderkey, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS pages
-  FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1000
-  ORDER BY count(*) DESC, l_orderkey LIMIT 100000),
-lines AS (
-  SELECT l.*, CAST(l_quantity AS BIGINT) AS qty,
-    CASE WHEN pages IS NULL THEN 0
-         ELSE {HASH32.format("concat_ws('|', l_linenumber, l_partkey, l_suppkey)")} % pages END AS page,
-    'sql-' || l_orderkey || '-' || (CASE WHEN pages IS NULL THEN 0
-         ELSE {HASH32.format("concat_ws('|', l_linenumber, l_partkey, l_suppkey)")} % pages END) AS sample_id
-  FROM lineitem l LEFT JOIN heavy USING (l_orderkey)),
+HASH60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+
+LINES = """
+lines AS (SELECT *, CAST(l_quantity AS BIGINT) AS qty, 'sql-' || l_orderkey AS sample_id FROM lineitem),
 order_tables AS (
   SELECT sample_id, l_orderkey,
-    '{{"header":["line","flag","quantity","price"],"rows":[' ||
+    '{"header":["line","flag","quantity","price"],"rows":[' ||
     string_agg('["' || l_linenumber || '","' || l_returnflag || '","' || qty || '","' ||
-               format('{{:,.2f}}', l_extendedprice) || '"]', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, CAST(qty AS VARCHAR), l_extendedprice) || ']' ||
-    CASE WHEN l_orderkey % 2 = 0 THEN ',"types":["real","text","real","real"]' ELSE '' END || '}}' AS data
+               format('{:,.2f}', l_extendedprice) || '"]', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, CAST(qty AS VARCHAR), l_extendedprice) || ']' ||
+    CASE WHEN l_orderkey % 2 = 0 THEN ',"types":["real","text","real","real"]' ELSE '' END || '}' AS data
   FROM lines GROUP BY sample_id, l_orderkey)"""
 
 AGG = "list_extract(['MAX','MIN','COUNT','SUM','AVG'], CAST(l_orderkey % 5 AS INT) + 1)"
@@ -138,7 +128,6 @@ def _finish(source: str, name: str) -> str:
 
 
 SAMPLES = "WITH " + ",".join([LINES, EQUATIONS, TEXTS, RAW_SAMPLES, _finish("raw_samples", "samples")])
-TEXT_SAMPLES = "WITH " + ",".join([TEXTS, _finish("raw_texts", "samples")])
 
 KIND = """CASE WHEN input IS NOT NULL AND data IS NOT NULL THEN 'full_prompt' WHEN data IS NOT NULL THEN 'data_prompt'
   WHEN input IS NOT NULL THEN 'input_prompt' ELSE 'default_prompt' END"""

@@ -6,10 +6,10 @@ from askgrid.functions import equations as EQ
 from askgrid.operators import prompts as P
 from askgrid.operators import replies as RP
 from askgrid.operators.equations import evaluate_equations
-from askgrid.plans.evaluation import evaluate
+from askgrid.plans.evaluation import evaluate, interactive_answers, not_evaluated
 from askgrid.sources import fixtures as X
 from catalog.base import (
-    ANSWERS, ANSWER_OUT, COUNT, EQUATIONS, ROUTE_OUT, SAMPLES, TEXT_SAMPLES, TOOLS, cut_sql, inference_sql, separator_sql,
+    ANSWERS, ANSWER_OUT, COUNT, EQUATIONS, ROUTE_OUT, SAMPLES, TOOLS, cut_sql, inference_sql, separator_sql,
 )
 
 
@@ -29,7 +29,7 @@ def stub_model(prompts):
 
 
 def scored(spark, sf):
-    rows = X.text_samples(spark, sf).select("sample_id", P.inference_prompt(TOOLS).alias("prompt"))
+    rows = X.samples(spark, sf).select("sample_id", P.inference_prompt(TOOLS).alias("prompt"))
     return RP.score_batches(rows, stub_model).select("sample_id", "raw_output")
 
 
@@ -63,6 +63,19 @@ def evaluation(spark, sf):
     return evaluate(rows, X.replies(rows, TOOLS), TOOLS)
 
 
+def without_result(spark, sf):
+    rows = X.samples(spark, sf).where(F.col("split") == "test")
+    return not_evaluated(rows, X.replies(rows, TOOLS), TOOLS)
+
+
+def interactive(spark, sf):
+    rows = X.samples(spark, sf)
+    asked = F.when(F.col("source") == "tat-qa", F.lit("equation")).when(
+        F.col("source") == "alpaca", F.col("template")).otherwise(F.lit("auto"))
+    answered = interactive_answers(rows.withColumn("template", asked), X.replies(rows, TOOLS), TOOLS)
+    return answered.select("sample_id", "route", "result", "eval")
+
+
 FAILED = """CASE kind_of WHEN 'script' THEN 'SQL is malformed: ' || reply || chr(10) || 'Exception:bad_question'
   WHEN 'arithmetic' THEN 'Equation is malformed: ' || reply || chr(10) || 'Exception:invalid syntax' ELSE reply END"""
 
@@ -85,16 +98,26 @@ def tool_results(route: str, source: str) -> str:
 
 ALL = f"{SAMPLES}, {ANSWERS}, {ANSWER_OUT}"
 ROUTES = "('table','arithmetic','script','generic')"
-EVALUATION = f"""{SAMPLES}, {ANSWERS}, {ANSWER_OUT}, {ROUTE_OUT},
+PREDICTED = cut_sql("raw_output", "'### Template:'")
+ROUTED = f"""{SAMPLES}, {ANSWERS}, {ANSWER_OUT}, {ROUTE_OUT},
   predicted AS (SELECT sample_id, CASE WHEN {COUNT.format("(" + inference_sql(TOOLS, "'template'") + ")")} < 1024
       THEN {cut_sql('raw_output', "'### Template:'")} END AS predicted FROM route_out),
   routed AS (SELECT o.* EXCLUDE (template), o.template AS own, CASE WHEN predicted IN {ROUTES} THEN predicted ELSE o.template END AS template
-      FROM answer_out o JOIN predicted USING (sample_id) WHERE split = 'test'),
+      FROM answer_out o JOIN predicted USING (sample_id) WHERE split = 'test')"""
+EVALUATION = f"""{ROUTED},
   short AS (SELECT * FROM routed WHERE {COUNT.format("(" + inference_sql(TOOLS) + ")")} < 1024
       AND ({inference_sql(TOOLS)}) IS NOT NULL AND raw_output IS NOT NULL)
   SELECT source, template, instruction, input, data, output AS gold, coalesce(derivation_eval, derivation_sql) AS gold_eval,
     result AS pred, eval AS pred_eval FROM ({tool_results('template', 'short')})"""
 
+LEFT_OUT = f"""{ROUTED} SELECT * FROM (SELECT sample_id, source, own AS template, template AS route,
+    CASE WHEN ({inference_sql(TOOLS)}) IS NULL THEN 'no_prompt' WHEN {COUNT.format("(" + inference_sql(TOOLS) + ")")} >= 1024 THEN 'too_long'
+         WHEN raw_output IS NULL THEN 'no_reply' END AS reason FROM routed) WHERE reason IS NOT NULL"""
+INTERACTIVE = f"""{ALL}, {ROUTE_OUT},
+  wanted AS (SELECT sample_id, CASE source WHEN 'tat-qa' THEN 'equation' WHEN 'alpaca' THEN template ELSE {PREDICTED} END AS asked FROM route_out),
+  routed AS (SELECT o.*, CASE WHEN asked IN {ROUTES} THEN asked ELSE 'generic' END AS route FROM answer_out o JOIN wanted USING (sample_id))
+  SELECT sample_id, route, result, eval FROM ({tool_results('route', 'routed')})"""
+
 EQ_SQL = f"WITH {EQUATIONS} SELECT"
 QUERIES = {
     "e3_attach_reply": (
@@ -103,7 +126,7 @@ QUERIES = {
             FROM samples LEFT JOIN route_out r USING (sample_id) LEFT JOIN answer_out a USING (sample_id)"""),
     "e4_score_batches": (
         scored,
-        f"""{TEXT_SAMPLES} SELECT sample_id, length(prompt) || ' characters' AS raw_output
+        f"""{SAMPLES} SELECT sample_id, length(prompt) || ' characters' AS raw_output
             FROM (SELECT sample_id, {inference_sql(TOOLS)} AS prompt FROM samples)"""),
     "f1_cut_reply": (
         cut,
@@ -129,4 +152,6 @@ QUERIES = {
         packaged,
         f"""{ALL} SELECT sample_id, result, eval, template, md5(raw_output) AS output_md5 FROM ({tool_results('template', 'answer_out')})"""),
     "evaluate_test_set": (evaluation, EVALUATION),
+    "evaluate_not_evaluated": (without_result, LEFT_OUT),
+    "interactive_answers": (interactive, INTERACTIVE),
 }

@@ -7,7 +7,7 @@ from askgrid.operators import sampling as SA
 from askgrid.operators.select import external_model_rows
 from askgrid.sources import fixtures as X
 from catalog.base import (
-    CHAT, DONE, HASH32, KIND, SAMPLES, TEXT_SAMPLES, TOOLS, inference_sql, lit, results_sql, training_sql,
+    CHAT, DONE, HASH60, KIND, SAMPLES, TOOLS, inference_sql, lit, results_sql, training_sql,
 )
 
 SHOTS, SEED = 3, 7
@@ -64,7 +64,7 @@ def shots_only(spark, sf, reasoned):
 
 
 def messages(spark, sf):
-    rows = X.text_samples(spark, sf).withColumn("prompt", P.inference_prompt(CHAT, F.lit("generic-3")))
+    rows = X.samples(spark, sf).withColumn("prompt", P.inference_prompt(CHAT, F.lit("generic-3")))
     chat = rows.select("sample_id", P.chat_messages(CHAT, F.col("prompt"), reasoned=False).alias("m"))
     return chat.select(
         "sample_id", F.size("m").alias("messages"), F.get("m", F.lit(0))["role"].alias("first_role"),
@@ -83,7 +83,7 @@ pool AS (SELECT * FROM samples WHERE template <> 'template' AND source <> 'alpac
 
 
 def draw(i):
-    return HASH32.format(f"'{SEED}|' || sample_id || '|{i}'") + f" % (n - {SHOTS} + {i} + 1)"
+    return HASH60.format(f"'{SEED}|' || sample_id || '|{i}'") + f" % (n - {SHOTS} + {i} + 1)"
 
 
 PICKS = f"""{EXTERNAL},
@@ -145,7 +145,7 @@ QUERIES = {
         f"{SAMPLES}, {EXTERNAL} {hashed(f'SELECT sample_id, {REASONED} AS shot FROM pool', 'shot')}"),
     "c8_chat_messages": (
         messages,
-        f"""{TEXT_SAMPLES} SELECT sample_id, 2 AS messages, 'system' AS first_role,
+        f"""{SAMPLES} SELECT sample_id, 2 AS messages, 'system' AS first_role,
             {lit(CHAT['generic-3']['system_message_default'])} AS system, 'user' AS second_role, md5({CHAT_PROMPT}) AS user_md5 FROM samples"""),
     "c9_plain_shot": (
         lambda spark, sf: shots_only(spark, sf, False),

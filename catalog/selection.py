@@ -8,7 +8,7 @@ from askgrid.operators import replies as RP
 from askgrid.operators import select as S
 from askgrid.sources import fixtures as X
 from catalog.base import (
-    ANSWER_OUT, CHAT, COUNT, ROUTE_OUT, SAMPLES, TEXT_SAMPLES, TOOLS, cut_sql, inference_sql, lit, results_sql,
+    ANSWER_OUT, CHAT, COUNT, ROUTE_OUT, SAMPLES, TOOLS, cut_sql, inference_sql, lit, results_sql,
 )
 
 IDS = ["sample_id", "source", "template"]
@@ -20,7 +20,10 @@ def lengths(spark, sf):
 
 
 def length_gate(spark, sf):
-    kept, dropped = lengths(spark, sf)
+    return kept_and_dropped(*lengths(spark, sf))
+
+
+def kept_and_dropped(kept, dropped):
     cols = ["sample_id", "n_tokens"]
     return kept.select(*cols, F.lit(True).alias("kept")).unionByName(dropped.select(*cols, F.lit(False).alias("kept")))
 
@@ -29,7 +32,7 @@ def budget_gate(spark, sf):
     rows = X.samples(spark, sf).withColumn("prompt", P.inference_prompt(CHAT, F.lit("generic-3")))
     chat = rows.withColumn("messages", P.chat_messages(CHAT, F.col("prompt")))
     counted = chat.withColumn("n_tokens", token_count(P.chat_text(F.col("messages")), begin=False))
-    return S.split_by_length(counted, limit=4096)[0].select("sample_id", "n_tokens")
+    return kept_and_dropped(*S.split_by_length(counted, limit=4096))
 
 
 def stacked_results(spark, sf):
@@ -83,12 +86,12 @@ QUERIES = {
             FROM (SELECT sample_id, {COUNT.format('prompt')} AS n_tokens FROM (SELECT *, {inference_sql(TOOLS)} AS prompt FROM samples))"""),
     "b7_budget_gate": (
         budget_gate,
-        f"""{SAMPLES} SELECT * FROM (SELECT sample_id,
+        f"""{SAMPLES} SELECT *, n_tokens < 4096 AS kept FROM (SELECT sample_id,
               {COUNT.format(f"({SYSTEM} || chr(10) || prompt || chr(10))")} - 1 AS n_tokens
-            FROM (SELECT *, {CHAT_PROMPT} AS prompt FROM samples)) WHERE n_tokens < 4096"""),
+            FROM (SELECT *, {CHAT_PROMPT} AS prompt FROM samples))"""),
     "b8_example_rows": (
-        lambda spark, sf: S.example_rows(X.text_samples(spark, sf)),
-        f"{TEXT_SAMPLES} SELECT instruction, input, data, output FROM samples"),
+        lambda spark, sf: S.example_rows(X.samples(spark, sf)),
+        f"{SAMPLES} SELECT instruction, input, data, output FROM samples"),
     "b9_concat_results": (
         stacked_results,
         f"""{SAMPLES}, {results_sql('a', 'a')}, {results_sql('b', 'b')}
@@ -109,9 +112,9 @@ QUERIES = {
         lambda spark, sf: routed(spark, sf).select("sample_id", S.route_from_output(F.col("raw_output")).alias("route")),
         f"{SAMPLES}, {ROUTE_OUT} SELECT sample_id, coalesce({PRED}, raw_output) AS route FROM route_out"),
     "r5_parse_as_text": (
-        lambda spark, sf: X.answer_outputs(X.text_samples(spark, sf), TOOLS).select(
+        lambda spark, sf: X.answer_outputs(X.samples(spark, sf), TOOLS).select(
             "sample_id", S.parsing_route(F.col("template"), False).alias("route"),
             RP.cut_reply(TOOLS, F.col("raw_output"), S.parsing_route(F.col("template"), False)).alias("result")),
-        f"""{TEXT_SAMPLES}, {ANSWER_OUT} SELECT sample_id, 'generic' AS route,
+        f"""{SAMPLES}, {ANSWER_OUT} SELECT sample_id, 'generic' AS route,
             {cut_sql('raw_output', lit(TOOLS['generic']['response_split']))} AS result FROM answer_out"""),
 }

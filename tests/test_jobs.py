@@ -111,7 +111,7 @@ def test_encode_and_pad(spark):
     df = spark.createDataFrame([("a", "x y z"), ("b", "x"), ("c", "x q")], "sample_id string, text string")
     words = vocabulary(df.where("sample_id <> 'c'"), "text", 3)
     enc = {r.sample_id: r.input_ids for r in B.encode(df, "text", words, 4).collect()}
-    assert enc == {"a": [1, 3, 4, 2], "b": [1, 3, 2], "c": [1, 3, 0, 2]}
+    assert enc == {"a": [1, 259, 260, 2], "b": [1, 259, 2], "c": [1, 259, 3 + ord("q"), 2]}
     plan = B.encode(df, "text", words, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "AS vocabulary_index" not in plan
     rows = B.padded(B.batched(B.shuffled(B.encode(df, "text", words, 4)), 3)).collect()
@@ -152,3 +152,29 @@ def test_one_reply_of_several_is_attached(spark):
     samples = spark.createDataFrame([("s",), ("t",)], "sample_id string")
     replies = spark.createDataFrame([("s", "answer", "x"), ("s", "answer", "y"), ("s", "route", "z")], "sample_id string, stage string, output string")
     assert sorted(map(tuple, attach_reply(samples, replies, "answer", "out").collect())) == [("s", "y"), ("t", None)]
+
+
+def test_an_unknown_piece_is_spelled_by_its_bytes(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "é")], "sample_id string, text string")
+    rows = B.encode(df, "text", vocabulary(df.where("sample_id = 'a'"), "text"), 9, begin=False, end=False)
+    assert {r.sample_id: r.input_ids for r in rows.collect()} == {"a": [259], "b": [3 + b for b in "é".encode()]}
+
+
+def test_a_null_group_gets_its_shots(spark):
+    row = "sample_id string, source string, template string"
+    pool = spark.createDataFrame([(f"p{n}", None, "t") for n in range(3)], row)
+    picks, too_few = SA.few_shot_picks(spark.createDataFrame([("a", None, "t"), ("b", "s", "t")], row), pool, 3)
+    assert sorted(r.shot_id for r in picks.collect()) == ["p0", "p1", "p2"]
+    assert [(r.sample_id, r.pool_size) for r in too_few.collect()] == [("b", 0)]
+
+
+def test_a_long_record_gets_one_answer(spark):
+    from askgrid.functions.questions import question
+    from askgrid.operators.tables import answer_questions
+    from askgrid.sources.records import pack_rows, table_json
+
+    lines = spark.range(5000).select(F.lit("r").alias("key"), "id")
+    tables = lines.groupBy("key").agg(pack_rows(["id"], [F.col("id").cast("string")]).alias("rows")).select(
+        "key", table_json(["n"], F.col("rows"), F.array(F.lit("real"))).alias("data"))
+    rows = answer_questions(tables.withColumn("question", question("n", "SUM"))).select("answer.value").collect()
+    assert [r.value for r in rows] == [4999 * 5000 / 2]
