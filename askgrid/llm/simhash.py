@@ -1,11 +1,13 @@
-"""SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming check, groups."""
+"""Near-duplicates: SimHash groups by Hamming distance, and groups by the similarity of shingle sets."""
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,12 @@ from askgrid.llm.common import NO_ID, components, text_bytes, written
 BITS = 64
 #: Buckets above this size are linked through shared one-bit neighbours instead of pair by pair.
 PAIRED = 32
+#: One text of so many is looked at to learn which shingles are common; this and the next only save time.
+SAMPLED = 16
+#: Common shingles that tasks know of, at most.
+COMMON = 200_000
+#: Pairs a text that buckets may list; with more, families are first joined through hubs.
+LISTED = 16
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -39,15 +47,6 @@ def shingle_hashes(data: bytes, width: int, seed: int) -> np.ndarray:
     return np.array([digest(line[s:e], seed) for s, e in zip(starts, (ends[width - 1:] - 1).tolist())], dtype=np.uint64)
 
 
-def mixed(hashes: np.ndarray, round_: int) -> np.ndarray:
-    """The hashes as another, independent hash function would give them."""
-    with np.errstate(over="ignore"):
-        x = hashes + np.uint64((round_ * 0x9E3779B97F4A7C15) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprint(text: str = "text", width: int = 3, seed: int = 42) -> Column:
     """The 64-bit SimHash of a text column as a long; no words, or null, gives 0."""
 
@@ -58,21 +57,6 @@ def fingerprint(text: str = "text", width: int = 3, seed: int = 42) -> Column:
     return simhash(text_bytes(text))
 
 
-def word_fingerprints(text: str = "text", rounds: int = 8, seed: int = 42) -> Column:
-    """Independent SimHashes of a text's distinct words, as an array of longs."""
-
-    @F.pandas_udf("array<long>")
-    def simhashes(data: pd.Series) -> pd.Series:
-        rows = []
-        for x in data:
-            digest = xxhash.xxh64_intdigest
-            base = np.array([digest(w, seed) for w in set(x.lower().split())], dtype=np.uint64)
-            rows.append([majority(mixed(base, k)) for k in range(rounds)])
-        return pd.Series(rows)
-
-    return simhashes(text_bytes(text))
-
-
 def block_masks(distance: int, blocks: int) -> list[int]:
     """Masks of the block choices of which fingerprints within ``distance`` share one."""
     cuts = [round(k * BITS / blocks) for k in range(blocks + 1)]
@@ -164,10 +148,16 @@ def shingle_similarity(a: Column, b: Column, width: int = 5) -> Column:
 
     @F.pandas_udf("double")
     def similarity(one: pd.Series, other: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(one, other):
-            s, t = (set(shingle_hashes(z, width, 0).tolist()) for z in (x, y))
-            out.append(len(s & t) / max(1, len(s | t)) if s or t else 1.0)
+        out, known = [], {}
+        for pair in zip(one, other):
+            for z in pair:
+                if z not in known:
+                    if len(known) > 200:
+                        known = {z: known[z] for z in pair if z in known}
+                    known[z] = set(shingle_hashes(z, width, 0).tolist())
+            s, t = (known[z] for z in pair)
+            both = len(s & t)
+            out.append(both / max(1, len(s) + len(t) - both) if s or t else 1.0)
         return pd.Series(out, dtype="float64")
 
     return similarity(a, b)
@@ -181,52 +171,118 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     })
 
 
+def common_shingles(rows: DataFrame, text: str, width: int, sampled: int = SAMPLED, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several texts of a sample have, ascending, and how often; at most ``most``."""
+
+    def count(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), width, 0)) for x in batch.column("data")]
+            hashes, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), [])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("__key", F.lit("sampled")), F.lit(sampled)) == 0).select(text_bytes(text).alias("data"))
+    counts = some.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "hash").limit(most).toPandas()
+    hashes, n = found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def shingle_prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[int, np.ndarray]:
+    """The number of distinct shingles, and so many of the rarest that no similar text can lack them all.
+
+    A set of n has at least ``ceil(similarity * n)`` in common with a similar one, so of
+    any order that all texts share the first ``n - ceil(similarity * n) + 1`` of both
+    have a member in common. Texts without words share the one shingle 0.
+    """
+    hashes = np.unique(hashes) if len(hashes) else np.zeros(1, dtype=np.uint64)
+    n = np.zeros(len(hashes), dtype=np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        n = np.where(common[0][at] == hashes, common[1][at], 0)
+    length = len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1
+    return len(hashes), hashes[np.lexsort([hashes, n])][:length]
+
+
 def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8,
-    rounds: int = 8, distance: int = 2, blocks: int = 4,
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, listed: int = LISTED,
 ) -> DataFrame:
     """``(text_key, group, first_id)`` for each distinct text, groups by shingle similarity.
 
-    For a chosen similarity of ``width``-word shingles one 64-bit fingerprint of
-    shingles isn't enough: texts with 0.8 of their five-word shingles in common differ
-    in about ten bits. Their distinct words, however, nearly agree. So ``rounds``
-    independent SimHashes of the words are each matched by pigeonhole blocks within
-    ``distance`` bits, and the links found by any of them are kept if the texts'
-    shingle sets really have the similarity. Copies are folded first: a text is known
-    by its XXH64 and read again, for the check, from the row with its smallest id.
+    Texts are linked if their sets of ``width``-word shingles have at least this
+    Jaccard ``similarity``; groups are what links connect. No link is missed:
+    candidates are all texts that share a shingle of their prefixes (``shingle_prefix``),
+    less those whose sizes and places in the prefix rule the similarity out, and the
+    sets themselves decide.
+
+    The texts with one prefix shingle are a bucket. While buckets list over ``listed``
+    pairs a text, each compares its members with one hub, another one in every
+    round, which joins large families at linear cost. When that finds no more, or few
+    pairs are left, all pairs of a bucket that aren't yet in one group are compared, so
+    nothing depends on the hubs. Copies are folded first: a text is known by its
+    XXH64 and read again, for the check, from the row with its smallest id.
 
     ``first_id`` is the smallest id of a text; a null id counts as 2^63 - 1. Null text
     is empty, and all empty texts are one text.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
     rows = _keyed(docs, id_col, text)
-    prints = written(
-        rows.select("__key", "__id", word_fingerprints(text, rounds).alias("prints"))
-        .groupBy(F.col("__key").alias("text_key")).agg(F.min("__id").alias("first_id"), F.any_value("prints").alias("prints")),
-        "word-prints",
-    )
-    families = prints.select("text_key", F.posexplode("prints").alias("family", "print"))
-    folded = families.groupBy("family", "print").agg(F.min("text_key").alias("low"))
-    links = close_links(folded.select("family", "print"), distance, blocks)
-    across = (
-        links.join(folded.toDF("family", "a", "x"), ["family", "a"]).join(folded.toDF("family", "b", "y"), ["family", "b"])
-        .select("x", "y")
-    )
-    same = families.join(folded, ["family", "print"]).select(F.col("low").alias("x"), F.col("text_key").alias("y"))
-    candidates = written(
-        across.union(same).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(),
-        "candidates",
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, text, width))
+
+    @F.pandas_udf("struct<size: int, keys: array<long>>")
+    def prefix(data: pd.Series) -> pd.DataFrame:
+        found = [shingle_prefix(shingle_hashes(x, width, 0), held.value, similarity) for x in data]
+        return pd.DataFrame({"size": [n for n, _ in found], "keys": [k.view(np.int64) for _, k in found]})
+
+    texts = written(
+        rows.select("__key", "__id", prefix(text_bytes(text)).alias("prefix"))
+        .groupBy(F.col("__key").alias("text_key")).agg(F.min("__id").alias("first_id"), F.any_value("prefix").alias("prefix")),
+        "prefixes",
     )
-    wanted = candidates.select(F.col("x").alias("text_key")).union(candidates.select("y")).distinct()
-    wanted = wanted.join(prints, "text_key").select(F.col("text_key").alias("__key"), F.col("first_id").alias("__id"))
-    body = rows.join(wanted, ["__key", "__id"], "left_semi").select("__key", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    body = written(body, "candidate-texts")
-    checked = (
-        candidates.join(body.toDF("x", "text_x"), "x").join(body.toDF("y", "text_y"), "y")
-        .where(shingle_similarity(text_bytes("text_x"), text_bytes("text_y"), width) >= similarity)
-        .select("x", "y")
+    keyed = texts.select("text_key", F.col("prefix.size").alias("size"), F.posexplode("prefix.keys").alias("place", "key"))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = written(keyed.join(several, "key"), "shared")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs ``(x, y)`` of texts that are similar."""
+        pairs = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+        wanted = pairs.select(F.col("x").alias("text_key")).union(pairs.select("y")).distinct()
+        wanted = wanted.join(texts.select("text_key", "first_id"), "text_key").select(F.col("text_key").alias("__key"), F.col("first_id").alias("__id"))
+        body = rows.join(wanted, ["__key", "__id"], "left_semi").select("__key", F.coalesce(F.col(text), F.lit("")).alias("text"))
+        body = written(body.dropDuplicates(["__key"]), "candidate-texts")
+        checked = pairs.join(body.toDF("x", "text_x"), "x").join(body.toDF("y", "text_y"), "y")
+        similar = shingle_similarity(text_bytes("text_x"), text_bytes("text_y"), width) >= similarity
+        return written(checked.where(similar).select("x", "y"), "similar")
+
+    # From the first prefix shingle that two texts share on, both still need enough in common.
+    enough = F.least(F.col("size") - F.col("place"), F.col("size_y") - F.col("place_y")) >= F.ceil(
+        F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_y")) - 1e-9
     )
-    roots = components(checked).toDF("text_key", "root")
-    return prints.select("text_key", "first_id").join(roots, "text_key", "left").select(
+    met = shared.withColumn("root", F.col("text_key"))
+    most, links, round_ = listed * texts.count(), None, 0
+
+    def joined(found: DataFrame) -> DataFrame:
+        return components(found).toDF("text_key", "root")
+
+    while True:
+        inner = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        left = inner.select(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+        if left <= most:
+            break
+        hubs = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("text_key", F.lit(round_)), "text_key", "size", "place", "root")).alias("hub"))
+        hubs = hubs.select("key", *[F.col(f"hub.{c}").alias(f"{c}_y") for c in ("text_key", "size", "place", "root")])
+        pairs = met.join(hubs, "key").where((F.col("root") != F.col("root_y")) & enough)
+        new = verified(pairs.select(F.col("text_key").alias("x"), F.col("text_key_y").alias("y")))
+        if new.isEmpty():
+            break
+        links, round_ = new if links is None else links.union(new), round_ + 1
+        met = written(shared.join(joined(links), "text_key", "left").withColumn("root", F.coalesce("root", "text_key")), "met")
+    other = met.select("key", *[F.col(c).alias(f"{c}_y") for c in ("text_key", "size", "place", "root")])
+    pairs = met.join(other, "key").where((F.col("root") < F.col("root_y")) & enough)
+    new = verified(pairs.select(F.col("text_key").alias("x"), F.col("text_key_y").alias("y")))
+    roots = joined(new if links is None else links.union(new))
+    return texts.select("text_key", "first_id").join(roots, "text_key", "left").select(
         "text_key", F.coalesce("root", "text_key").alias("group"), "first_id"
     )
 

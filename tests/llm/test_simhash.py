@@ -5,6 +5,7 @@ import xxhash
 
 from askgrid.llm import simhash
 from askgrid.llm.common import components
+from tests.llm.conftest import prose
 
 
 def brute_print(text, width=3):
@@ -88,3 +89,48 @@ def test_one_of_each_near_duplicate_group_stays(docs, wide_docs, no_docs, rows):
     assert sorted(simhash.keep_one_of_each_group(wide_docs).columns) == sorted(wide_docs.columns)
     assert simhash.keep_one_of_each_group(no_docs).count() == simhash.simhash_groups(no_docs).count() == 0
     assert simhash.simhash_groups(wide_docs).count() == 90
+
+
+def shingle_set(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_similar(texts, similarity=0.8):
+    """The partition of the texts by links of at least this similarity, as a set of frozensets."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if (both / len(sets[a] | sets[b]) if sets[a] or sets[b] else 1.0) >= similarity:
+            root[find(a)] = find(b)
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(find(k), set()).add(k)
+    return {frozenset(g) for g in groups.values()}
+
+
+def found_similar(spark, texts, **settings):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {}
+    for r in simhash.near_duplicate_groups(docs, **settings).collect():
+        groups.setdefault(r["group"], set()).add(r["first_id"])
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_appended_cut_and_short_copies_are_found(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):
+        a, b, c, d, e = (f"t{k} " + prose(rng, n - 1) for n in (100, 300, 100, 20, 15))
+        texts += [a, f"{a} {prose(rng, 10)}", b, f"{b} {prose(rng, 60)}", c, " ".join(c.split()[:90]), d, " ".join([*d.split()[:-1], "other"]), e, f"{e} {prose(rng, 3)}"]
+    texts += [" \t", "", "one", "ONE ", "one two three four five", "one two three four five six"]
+    want = brute_similar(texts)
+    assert sum(len(g) > 1 for g in want) > 200
+    for listed in (16, 0):
+        assert found_similar(spark, texts, listed=listed) == want
