@@ -22,7 +22,7 @@ SAMPLED = 16
 #: Common shingles that tasks know of, at most.
 COMMON = 200_000
 #: Pairs a text that buckets may list; with more, families are first joined through hubs.
-LISTED = 16
+LISTED = 128
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -217,8 +217,8 @@ def near_duplicate_groups(
 
     The texts with one prefix shingle are a bucket. While buckets list over ``listed``
     pairs a text, each compares its members with one hub, another one in every
-    round, which joins large families at linear cost. When that finds no more, or few
-    pairs are left, all pairs of a bucket that aren't yet in one group are compared, so
+    round, which joins large families at linear cost. When that no longer halves the pairs,
+    or few are left, all pairs of a bucket that aren't yet in one group are compared, so
     nothing depends on the hubs. Copies are folded first: a text is known by its
     XXH64 and read again, for the check, from the row with its smallest id.
 
@@ -260,7 +260,7 @@ def near_duplicate_groups(
         F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_y")) - 1e-9
     )
     met = shared.withColumn("root", F.col("text_key"))
-    most, links, round_ = listed * texts.count(), None, 0
+    most, before, links, round_ = listed * texts.count(), None, None, 0
 
     def joined(found: DataFrame) -> DataFrame:
         return components(found).toDF("text_key", "root")
@@ -268,8 +268,9 @@ def near_duplicate_groups(
     while True:
         inner = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         left = inner.select(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if left <= most:
+        if left <= most or before is not None and left > before / 2:
             break
+        before = left
         hubs = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("text_key", F.lit(round_)), "text_key", "size", "place", "root")).alias("hub"))
         hubs = hubs.select("key", *[F.col(f"hub.{c}").alias(f"{c}_y") for c in ("text_key", "size", "place", "root")])
         pairs = met.join(hubs, "key").where((F.col("root") != F.col("root_y")) & enough)

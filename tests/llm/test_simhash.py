@@ -134,3 +134,18 @@ def test_appended_cut_and_short_copies_are_found(spark):
     assert sum(len(g) > 1 for g in want) > 200
     for listed in (16, 0):
         assert found_similar(spark, texts, listed=listed) == want
+
+
+def test_families_that_are_similar_only_to_their_original(spark):
+    rng, texts = random.Random(12), []
+    for n, copies in ((200, 40), (60, 12)):
+        original = prose(rng, n)
+        words = original.split()
+        texts.append(original)
+        for _ in range(copies):  # one stretch differs: two copies have about 0.7 in common, each has 0.83 of the original
+            at = rng.randrange(n - n // 10)
+            texts.append(" ".join(words[:at] + prose(rng, n // 10 - 4).split() + words[at + n // 10 - 4:]))
+    want = brute_similar(texts)
+    assert max(map(len, want)) > 20
+    for listed in (16, 0):
+        assert found_similar(spark, texts, listed=listed) == want
