@@ -47,13 +47,20 @@ class WordTokenizer:
 
     Exact for a tokenizer that lower-cases and drops white space before it merges: no
     token spans a blank, and letters A-Z may be lower-cased before. Each piece that a
-    worker meets for the first time is encoded by the library.
+    worker meets for the first time is encoded by the library. Added tokens may be matched
+    before lower-casing, so texts with the spelling of one, in any case, are encoded whole.
     """
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width_of(self.tokenizer, end)
         self.known: dict[bytes, bytes] = {}
+        added = [t.content.encode("utf-8").lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added)) if added else rb"(?!)")
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """Token ids as the library gives them."""
+        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def of_worker(path: str, end: int) -> WordTokenizer:
@@ -65,14 +72,20 @@ class WordTokenizer:
         return held.__dict__[key]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [_BLANK.split(_END_MARK.sub(rb" \1", t.encode("utf-8").lower())) for t in texts]
+        lower = [t.encode("utf-8").lower() for t in texts]
+        whole = [k for k, t in enumerate(lower) if self.added.search(t)]
+        for k in whole:
+            lower[k] = b""
+        pieces = [_BLANK.split(_END_MARK.sub(rb" \1", t)) for t in lower]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list({p for ps in pieces for p in ps if p not in self.known})
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)):
-            self.known[piece] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
+        self.known.update(zip(new, self.encoded([p.decode("utf-8") for p in new])))
         known = self.known
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        for k, ids in zip(whole, self.encoded([texts[k] for k in whole])):
+            out[k] = ids
+        return out
 
 
 def local_path(path: str) -> str | None:

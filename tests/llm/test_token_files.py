@@ -31,3 +31,10 @@ def test_defined_cases(spark, no_docs, wide_docs, tmp_path):
     assert shards == [] and token_files.read_token_files(spark, str(tmp_path / "none"), shards).count() == 0
     shards = token_files.write_token_files(wide_docs, str(tmp_path / "wide"), PATH, 2)
     assert token_files.read_token_files(spark, str(tmp_path / "wide"), shards).count() == 90
+
+
+def test_added_tokens_in_any_case():
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "A<|StartOfText|>B end.", "x<|startoftext|>", "plain Text, no mark.", "<|endoftext |>", ""]
+    library = Tokenizer.from_file(PATH)
+    got = token_files.WordTokenizer(PATH, 2)(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
