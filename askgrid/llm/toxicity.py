@@ -128,14 +128,18 @@ def best_threshold(probability: np.ndarray, y: np.ndarray, precision: float, lea
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents, those whose id has the smallest digests."""
+    """At most ``rows`` labelled documents, those whose id has the smallest digests.
+
+    Of documents with one id the text with the smallest digest is taken.
+    """
     chosen = (
         labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
         .agg(F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).alias("quality"))
         .orderBy(F.xxhash64("id"), "id").limit(rows)
     )
     joined = docs.select(F.col(id_col).alias("id"), text_bytes(text).alias("data")).join(F.broadcast(chosen), "id")
-    return written(joined, "labelled")
+    one = joined.groupBy("id", "toxic", "quality").agg(F.min(F.struct(F.xxhash64("data").alias("digest"), "data")).alias("low"))
+    return written(one.select("id", "low.data", "toxic", "quality"), "labelled")
 
 
 def fit_chain(

@@ -46,3 +46,11 @@ def test_nothing_to_learn(spark, docs, no_docs):
         chain = toxicity.fit_chain(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
         assert toxicity.without_toxic(docs, chain).count() == docs.count()
         assert toxicity.score_toxicity(no_docs, chain).count() == 0
+
+
+def test_repeated_ids_give_one_row_each(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "b"), (2, "b"), (3, None), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    one, two = (sorted((r["id"], bytes(r["data"]), r["toxic"], r["quality"]) for r in toxicity.labelled_sample(d, labels, "doc_id", "text", 10).collect()) for d in (docs, docs.repartition(3)))
+    assert [r[0] for r in one] == [1, 2, 3] and one == two
+    assert one[1:] == [(2, b"b", 0, 0), (3, b"", 0, 1)]
