@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm import bpe, decontaminate, fingerprints, licenses, simhash, substrings, token_files, toxicity, urls, warc
+from askgrid.llm import (
+    bpe, decontaminate, divergence, fingerprints, licenses, sharding, simhash, substrings, token_files, toxicity, urls, vector_codes, warc,
+)
 from askgrid.session import new_path
 
 
@@ -88,6 +90,26 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_shards(spark: SparkSession, folder: str) -> DataFrame:
+    data = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    return sharding.shard_rows(_table(spark, folder, "documents").select("doc_id", "text"), 24).select(
+        "row.doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows, books, at = vector_codes.compress_vectors(_table(spark, folder, "embeddings"))
+    return vector_codes.with_label_error(rows).select(
+        F.col("id").alias("vec_id"), vector_codes.code_text(F.col("code")).alias("code"), "error", "label_error",
+        F.lit(vector_codes.books_digest(books[-1], at)).alias("codebooks_sha256"),
+    )
+
+
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
+
+
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 PLAIN_WORDS = r"regexp_extract_all({0}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 WORDS_OF = PLAIN_WORDS.format(LOWER.format("text"))
@@ -189,6 +211,52 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), FALSE) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+def _op12_sql(rounds: int = 4) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS (SELECT rn, x.p, any_value(y) AS y,
+  CAST(min((list_dot_product(y, y) - 2 * list_dot_product(y, c) + list_dot_product(c, c)) * 256 + e) AS BIGINT) AS best
+  FROM x JOIN book{r} b ON b.p = x.p GROUP BY rn, x.p)""")
+        if r < rounds:
+            steps.append(f"""
+mean{r} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (
+  SELECT p, e, i, floor(sum(v) / count(*)) AS m
+  FROM (SELECT p, best % 256 AS e, unnest(y) AS v, unnest(range(1, len(y) + 1)) AS i FROM near{r}) GROUP BY p, e, i) GROUP BY p, e),
+book{r + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH q AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn, vec_id, label, list_transform(embedding, lambda z: floor(1024 * CAST(z AS DOUBLE))) AS z
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+x AS (SELECT rn, p, list_slice(z, p * len(z) // 4 + 1, (p + 1) * len(z) // 4) AS y FROM q, range(4) t(p)),
+book0 AS (SELECT p, rn AS e, y AS c FROM x WHERE rn < 256),{",".join(steps)},
+codes AS (SELECT rn, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM near{rounds} GROUP BY rn),
+digest AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS v, unnest(range(1, len(c) + 1)) AS i FROM book{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM q JOIN codes USING (rn), digest"""
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, sum(n) AS size FROM n GROUP BY lang, source),
+ln AS (SELECT lang, sum(n) AS size, count(DISTINCT term) AS v FROM n GROUP BY lang),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (coalesce(gn.size, 0) + 5 * ln.v) AS p
+  FROM g JOIN kept USING (lang) JOIN ln USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN n USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n.n) + 5)) // (any_value(ln.size) + 5 * any_value(ln.v)) AS q
+  FROM n JOIN ln USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -200,4 +268,7 @@ QUERIES = {
     "op8_substrings": (op8_substrings, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_decontaminate": (op10_decontaminate, OP10_SQL),
+    "op11_shards": (op11_shards, None),
+    "op12_vector_codes": (op12_vector_codes, _op12_sql()),
+    "op13_divergence": (op13_divergence, OP13_SQL),
 }
