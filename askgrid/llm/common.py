@@ -25,6 +25,14 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -1,28 +1,20 @@
-"""Near-duplicates: SimHash groups by Hamming distance, and groups by the similarity of shingle sets."""
+"""Near-duplicates: groups of documents whose SimHash fingerprints differ in few bits."""
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.common import NO_ID, components, text_bytes, written
+from askgrid.llm.common import NO_ID, components, free_name, text_bytes, written
 
 BITS = 64
 #: Buckets above this size are linked through shared one-bit neighbours instead of pair by pair.
 PAIRED = 32
-#: One text of so many is looked at to learn which shingles are common; this and the next only save time.
-SAMPLED = 16
-#: Common shingles that tasks know of, at most.
-COMMON = 200_000
-#: Pairs a text that buckets may list; with more, families are first joined through hubs.
-LISTED = 128
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -118,6 +110,13 @@ def close_links(prints: DataFrame, distance: int = 2, blocks: int = 4, paired: i
     return pairs.union(linked.where("a < b")).distinct()
 
 
+def rooted(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``distinct`` with ``root``: one fingerprint that stands for all that links connect with ``print``."""
+    links = close_links(distinct.select(F.lit(0).alias("family"), "print"), distance, blocks).select("a", "b")
+    roots = components(links).withColumnRenamed("id", "print")
+    return distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2,
     blocks: int = 4, seed: int = 42,
@@ -133,169 +132,30 @@ def simhash_groups(
     Repeated rows stay repeated. Columns beyond id and text are left out.
     """
     prints = written(docs.select(F.col(id_col).alias("id"), fingerprint(text, width, seed).alias("print")), "simhash")
-    distinct = prints.groupBy("print").agg(F.min("id").alias("first"))
-    links = close_links(distinct.select(F.lit(0).alias("family"), "print"), distance, blocks).select("a", "b")
-    roots = components(links).withColumnRenamed("id", "print")
-    rooted = distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    distinct = rooted(prints.groupBy("print").agg(F.min("id").alias("first")), distance, blocks)
+    named = distinct.join(distinct.groupBy("root").agg(F.min("first").alias("component_id")), "root")
     return prints.join(named.select("print", "component_id"), "print").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def shingle_similarity(a: Column, b: Column, width: int = 5) -> Column:
-    """Jaccard similarity of the sets of ``width``-word shingles of two texts."""
-
-    @F.pandas_udf("double")
-    def similarity(one: pd.Series, other: pd.Series) -> pd.Series:
-        out, known = [], {}
-        for pair in zip(one, other):
-            for z in pair:
-                if z not in known:
-                    if len(known) > 200:
-                        known = {z: known[z] for z in pair if z in known}
-                    known[z] = set(shingle_hashes(z, width, 0).tolist())
-            s, t = (known[z] for z in pair)
-            both = len(s & t)
-            out.append(both / max(1, len(s) + len(t) - both) if s or t else 1.0)
-        return pd.Series(out, dtype="float64")
-
-    return similarity(a, b)
-
-
-def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The rows with ``__key``, their text's 64-bit digest, and ``__id``, which is never null."""
-    return docs.withColumns({
-        "__key": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
-        "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-    })
-
-
-def common_shingles(rows: DataFrame, text: str, width: int, sampled: int = SAMPLED, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several texts of a sample have, ascending, and how often; at most ``most``."""
-
-    def count(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), width, 0)) for x in batch.column("data")]
-            hashes, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), [])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
-
-    some = rows.where(F.pmod(F.xxhash64("__key", F.lit("sampled")), F.lit(sampled)) == 0).select(text_bytes(text).alias("data"))
-    counts = some.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
-    found = counts.orderBy(F.desc("n"), "hash").limit(most).toPandas()
-    hashes, n = found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
-
-
-def shingle_prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[int, np.ndarray]:
-    """The number of distinct shingles, and so many of the rarest that no similar text can lack them all.
-
-    A set of n has at least ``ceil(similarity * n)`` in common with a similar one, so of
-    any order that all texts share the first ``n - ceil(similarity * n) + 1`` of both
-    have a member in common. Texts without words share the one shingle 0.
-    """
-    hashes = np.unique(hashes) if len(hashes) else np.zeros(1, dtype=np.uint64)
-    n = np.zeros(len(hashes), dtype=np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        n = np.where(common[0][at] == hashes, common[1][at], 0)
-    length = len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1
-    return len(hashes), hashes[np.lexsort([hashes, n])][:length]
-
-
-def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, listed: int = LISTED,
+def keep_one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2,
+    blocks: int = 4, seed: int = 42,
 ) -> DataFrame:
-    """``(text_key, group, first_id)`` for each distinct text, groups by shingle similarity.
-
-    Texts are linked if their sets of ``width``-word shingles have at least this
-    Jaccard ``similarity``; groups are what links connect. No link is missed:
-    candidates are all texts that share a shingle of their prefixes (``shingle_prefix``),
-    less those whose sizes and places in the prefix rule the similarity out, and the
-    sets themselves decide.
-
-    The texts with one prefix shingle are a bucket. While buckets list over ``listed``
-    pairs a text, each compares its members with one hub, another one in every
-    round, which joins large families at linear cost. When that no longer halves the pairs,
-    or few are left, all pairs of a bucket that aren't yet in one group are compared, so
-    nothing depends on the hubs. Copies are folded first: a text is known by its
-    XXH64 and read again, for the check, from the row with its smallest id.
-
-    ``first_id`` is the smallest id of a text; a null id counts as 2^63 - 1. Null text
-    is empty, and all empty texts are one text.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity must be above 0 and at most 1")
-    rows = _keyed(docs, id_col, text)
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, text, width))
-
-    @F.pandas_udf("struct<size: int, keys: array<long>>")
-    def prefix(data: pd.Series) -> pd.DataFrame:
-        found = [shingle_prefix(shingle_hashes(x, width, 0), held.value, similarity) for x in data]
-        return pd.DataFrame({"size": [n for n, _ in found], "keys": [k.view(np.int64) for _, k in found]})
-
-    texts = written(
-        rows.select("__key", "__id", prefix(text_bytes(text)).alias("prefix"))
-        .groupBy(F.col("__key").alias("text_key")).agg(F.min("__id").alias("first_id"), F.any_value("prefix").alias("prefix")),
-        "prefixes",
-    )
-    keyed = texts.select("text_key", F.col("prefix.size").alias("size"), F.posexplode("prefix.keys").alias("place", "key"))
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = written(keyed.join(several, "key"), "shared")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs ``(x, y)`` of texts that are similar."""
-        pairs = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-        wanted = pairs.select(F.col("x").alias("text_key")).union(pairs.select("y")).distinct()
-        wanted = wanted.join(texts.select("text_key", "first_id"), "text_key").select(F.col("text_key").alias("__key"), F.col("first_id").alias("__id"))
-        body = rows.join(wanted, ["__key", "__id"], "left_semi").select("__key", F.coalesce(F.col(text), F.lit("")).alias("text"))
-        body = written(body.dropDuplicates(["__key"]), "candidate-texts")
-        checked = pairs.join(body.toDF("x", "text_x"), "x").join(body.toDF("y", "text_y"), "y")
-        similar = shingle_similarity(text_bytes("text_x"), text_bytes("text_y"), width) >= similarity
-        return written(checked.where(similar).select("x", "y"), "similar")
-
-    # From the first prefix shingle that two texts share on, both still need enough in common.
-    enough = F.least(F.col("size") - F.col("place"), F.col("size_y") - F.col("place_y")) >= F.ceil(
-        F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_y")) - 1e-9
-    )
-    met = shared.withColumn("root", F.col("text_key"))
-    most, before, links, round_ = listed * texts.count(), None, None, 0
-
-    def joined(found: DataFrame) -> DataFrame:
-        return components(found).toDF("text_key", "root")
-
-    while True:
-        inner = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = inner.select(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if left <= most or before is not None and left > before / 2:
-            break
-        before = left
-        hubs = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("text_key", F.lit(round_)), "text_key", "size", "place", "root")).alias("hub"))
-        hubs = hubs.select("key", *[F.col(f"hub.{c}").alias(f"{c}_y") for c in ("text_key", "size", "place", "root")])
-        pairs = met.join(hubs, "key").where((F.col("root") != F.col("root_y")) & enough)
-        new = verified(pairs.select(F.col("text_key").alias("x"), F.col("text_key_y").alias("y")))
-        if new.isEmpty():
-            break
-        links, round_ = new if links is None else links.union(new), round_ + 1
-        met = written(shared.join(joined(links), "text_key", "left").withColumn("root", F.coalesce("root", "text_key")), "met")
-    other = met.select("key", *[F.col(c).alias(f"{c}_y") for c in ("text_key", "size", "place", "root")])
-    pairs = met.join(other, "key").where((F.col("root") < F.col("root_y")) & enough)
-    new = verified(pairs.select(F.col("text_key").alias("x"), F.col("text_key_y").alias("y")))
-    roots = joined(new if links is None else links.union(new))
-    return texts.select("text_key", "first_id").join(roots, "text_key", "left").select(
-        "text_key", F.coalesce("root", "text_key").alias("group"), "first_id"
-    )
-
-
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
+    """One row of each group that :func:`simhash_groups` finds, that with the smallest id.
 
-    All columns stay as they are. Rows with equal id and equal text fold to one; if
-    all ids of a group are null, one of its rows stays.
+    All columns stay as they are. A null id comes after all others; of several texts with
+    that id the one with the smallest digest stays, and of rows equal in both one. Only
+    numbers are joined to find the rows that stay; texts travel once, to meet them.
     """
-    groups = near_duplicate_groups(docs, id_col, text, **settings)
-    best = groups.groupBy("group").agg(F.min(F.struct("first_id", "text_key")).alias("best"))
-    best = best.select(F.col("best.text_key").alias("__key"), F.col("best.first_id").alias("__id"))
-    kept = _keyed(docs, id_col, text).join(best, ["__key", "__id"], "left_semi")
-    return kept.dropDuplicates(["__key", "__id"]).select([F.col(f"`{c}`") for c in docs.columns])
+    low, key, one = (free_name(n, docs) for n in ("low", "key", "one"))
+    keyed = docs.withColumns({low: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), key: F.xxhash64(text_bytes(text))})
+    prints = written(keyed.select(F.col(low).alias("low"), F.col(key).alias("key"), fingerprint(text, width, seed).alias("print")), "simhash")
+    distinct = rooted(prints.groupBy("print").agg(F.min(F.struct("low", "key")).alias("first")), distance, blocks)
+    best = written(distinct.groupBy("root").agg(F.min("first").alias("first")), "kept")
+    best = best.select(F.col("first.low").alias(low), F.col("first.key").alias(key))
+    numbered = keyed.join(best, [low, key], "left_semi").withColumn(one, F.monotonically_increasing_id())
+    kept = written(numbered, "kept-rows")  # numbers must not change between the two readings
+    ones = kept.groupBy(low, key).agg(F.min(one).alias(one))
+    return kept.join(ones.select(one), one, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])

@@ -3,7 +3,8 @@
 Categories are predicted one after the other. The linear model of a category sees the
 text's features and the probabilities of the categories before it; for its training
 these come from models that did not see the row (out-of-fold), for scoring from the
-models of the whole sample. Features are the words and word beginnings that speak most
+models of the whole sample. What the threshold is set by comes from whole chains, each fitted
+without the rows that it is asked about. Features are the words and word beginnings that speak most
 clearly for toxic texts in the sample, found by counting, and a few shares of signs.
 """
 
@@ -17,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.common import plain_words, text_bytes, written
+from askgrid.llm.common import free_name, plain_words, text_bytes, written
 
-#: The categories in the order of the chain; the last one decides.
-CHAIN = ("junk", "severe", "toxic")
-#: Distinct marks of a toxic text that make it severe.
-SEVERE_MARKS = 4
+#: The default categories in the order of the chain, as conditions on the labels; the last one decides.
+CHAIN = {"junk": "quality = 0", "toxic_junk": "toxic = 1 AND quality = 0", "toxic": "toxic = 1"}
 FOLDS = 5
 STYLES = 5
 BEGINNINGS = (4, 5)
@@ -56,6 +55,7 @@ class Chain:
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     threshold: float = 1.0
     long_marks: tuple[int, ...] = BEGINNINGS
+    categories: tuple[str, ...] = tuple(CHAIN)
 
     def rows(self, data: bytes) -> tuple[list[int], list[float]]:
         words = plain_words(data)
@@ -71,7 +71,7 @@ class Chain:
 
     def scores(self, data: bytes) -> list[float]:
         if not self.weights:
-            return [0.0] * len(CHAIN)
+            return [0.0] * len(self.categories)
         found, styles = self.rows(data)
         n, out = len(self.marks), []
         for weights in self.weights.values():
@@ -81,32 +81,58 @@ class Chain:
         return out
 
 
+def _sure(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; the first column isn't penalised."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        p = _sure(x @ w)
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
         w -= step
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-def fit_chain_arrays(x: np.ndarray, targets: dict[str, np.ndarray], fold: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Weights per category, and the out-of-fold probabilities of the last one."""
-    weights, seen = {}, x
+def _plain_chain(x: np.ndarray, targets: dict[str, np.ndarray], fold: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights per category; each but the last also predicts every fold from the others, for those after it."""
+    weights, seen, last = {}, x, list(targets)[-1]
     for name, y in targets.items():
-        held_out = np.full(len(y), y.mean() if len(y) else 0.0)
-        for k in range(FOLDS):
-            rest, own = fold != k, fold == k
-            if own.any() and rest.any():
-                held_out[own] = 1 / (1 + np.exp(-np.clip(seen[own] @ fit_logistic(seen[rest], y[rest]), -40, 40)))
         weights[name] = fit_logistic(seen, y)
-        seen = np.column_stack([seen, held_out])
-    return weights, held_out
+        if name != last:
+            held_out = np.full(len(y), y.mean() if len(y) else 0.0)
+            for k in np.unique(fold):
+                rest, own = fold != k, fold == k
+                if rest.any():
+                    held_out[own] = _sure(seen[own] @ fit_logistic(seen[rest], y[rest]))
+            seen = np.column_stack([seen, held_out])
+    return weights
+
+
+def fit_chain_arrays(x: np.ndarray, targets: dict[str, np.ndarray], fold: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Weights per category, and the out-of-fold probabilities of the last one.
+
+    For every fold a whole chain is fitted on the other folds, with inner folds among
+    these, and asked about the fold: no label of a row has a part in any of its
+    probabilities, neither as a target nor through an earlier category. The weights that
+    are returned learn from these probabilities.
+    """
+    held_out = np.column_stack([np.full(len(y), y.mean() if len(y) else 0.0) for y in targets.values()])
+    for k in np.unique(fold):
+        rest, own = fold != k, fold == k
+        if rest.any():
+            chain = _plain_chain(x[rest], {n: y[rest] for n, y in targets.items()}, fold[rest])
+            seen = x[own]
+            for w in chain.values():
+                seen = np.column_stack([seen, _sure(seen @ w)])
+            held_out[own] = seen[:, x.shape[1]:]
+    weights = {n: fit_logistic(np.column_stack([x, held_out[:, :c]]), y) for c, (n, y) in enumerate(targets.items())}
+    return weights, held_out[:, -1]
 
 
 def best_threshold(probability: np.ndarray, y: np.ndarray, precision: float, least: int) -> float:
@@ -127,36 +153,40 @@ def best_threshold(probability: np.ndarray, y: np.ndarray, precision: float, lea
     return float((sorted_[k] + after) / 2)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents, those whose id has the smallest digests.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, id_col: str, text: str, rows: int, categories: dict[str, str] = CHAIN,
+) -> DataFrame:
+    """At most ``rows`` labelled documents, those whose id has the smallest digests: ``(id, data, c0, c1, ..)``.
 
-    Of documents with one id the text with the smallest digest is taken.
+    ``c0`` and so on are 0 or 1, by category. Of documents with one id the text with the
+    smallest digest is taken.
     """
-    chosen = (
-        labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
-        .agg(F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).alias("quality"))
-        .orderBy(F.xxhash64("id"), "id").limit(rows)
-    )
+    marks = [f"c{k}" for k in range(len(categories))]
+    says = [F.max(F.coalesce(F.expr(e).cast("int"), F.lit(0))).alias(c) for c, e in zip(marks, categories.values())]
+    chosen = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*says).orderBy(F.xxhash64("id"), "id").limit(rows)
     joined = docs.select(F.col(id_col).alias("id"), text_bytes(text).alias("data")).join(F.broadcast(chosen), "id")
-    one = joined.groupBy("id", "toxic", "quality").agg(F.min(F.struct(F.xxhash64("data").alias("digest"), "data")).alias("low"))
-    return written(one.select("id", "low.data", "toxic", "quality"), "labelled")
+    one = joined.groupBy("id", *marks).agg(F.min(F.struct(F.xxhash64("data").alias("digest"), "data")).alias("low"))
+    return written(one.select("id", "low.data", *marks), "labelled")
 
 
 def fit_chain(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", rows: int = 20_000,
-    marks: int = 128, least: int = 3, precision: float = 0.98,
+    marks: int = 128, least: int = 3, precision: float = 0.98, categories: dict[str, str] = CHAIN,
 ) -> Chain:
     """Fit the chain on at most ``rows`` labelled documents.
 
-    ``labels`` has ``toxic`` and ``quality`` (0 or 1) by id; repeated labels count as
-    toxic, or as bad, if one says so. ``marks`` features are chosen among those in at
-    least ``least`` toxic texts, and twice as common there as at random, by the
-    likelihood ratio of their counts. The threshold is the lowest with ``precision`` among out-of-fold predictions. Severe are the toxic texts with several distinct marks. The sample's rows,
-    marks and shares, a table of ``rows`` by ``marks`` numbers, are fitted on the driver.
-    Without toxic or without clean rows there is nothing to learn: the chain then gives 0
-    for everything and rejects nothing.
+    ``categories`` are conditions on the columns of ``labels``, in the order of the
+    chain; the last one decides. A condition that is null doesn't hold; of repeated labels
+    one that holds is enough. ``marks`` features are chosen among those in at
+    least ``least`` texts of the last category, and twice as common there as at random, by the
+    likelihood ratio of their counts. The threshold is the lowest with ``precision`` among
+    out-of-fold predictions. The sample's rows, marks and shares, a table of ``rows`` by
+    ``marks`` numbers, are fitted on the driver. If the last category has no texts, or all,
+    there is nothing to learn: the chain then gives 0 for everything and rejects nothing.
     """
-    sample = labelled_sample(docs, labels, id_col, text, rows)
+    names = tuple(categories)
+    columns = [f"c{k}" for k in range(len(names))]
+    sample = labelled_sample(docs, labels, id_col, text, rows, categories).withColumn("toxic", F.col(columns[-1]))
 
     def count(batches):
         for batch in batches:
@@ -172,23 +202,23 @@ def fit_chain(
     sizes = sample.groupBy("toxic").count().collect()
     toxic, clean = (sum(r["count"] for r in sizes if bool(r["toxic"]) == bad) for bad in (True, False))
     if not toxic or not clean:
-        return Chain()
+        return Chain(categories=names)
     counts = sample.mapInArrow(count, "mark binary, toxic long, clean long").groupBy("mark").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c, share = F.col("t"), F.col("c"), toxic / (toxic + clean)
     surprise = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
     often = counts.where((t >= least) & (t > 2 * share * (t + c)))
     chosen = often.orderBy(F.desc(surprise), "mark").limit(marks).collect()
-    chain = Chain({bytes(r["mark"]): k for k, r in enumerate(chosen)})
+    chain = Chain({bytes(r["mark"]): k for k, r in enumerate(chosen)}, categories=names)
 
     def lay(batches):
         for batch in batches:
             found = [chain.rows(data.as_py()) for data in batch.column("data")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("toxic"), batch.column("quality"), pa.array([m for m, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64()))],
-                names=["id", "toxic", "quality", "marks", "style"],
+                [*[batch.column(c) for c in ("id", *columns)], pa.array([m for m, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64()))],
+                names=["id", *columns, "marks", "style"],
             )
 
-    kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in ("id", "toxic", "quality"))
+    kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in ("id", *columns))
     laid = sample.mapInArrow(lay, kinds + ", marks array<int>, style array<double>")
     laid = laid.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS))).orderBy(F.xxhash64("id"), "id").collect()
     x = np.zeros((len(laid), 1 + len(chosen) + STYLES))
@@ -196,21 +226,17 @@ def fit_chain(
     for k, r in enumerate(laid):
         x[k, [1 + m for m in r["marks"]]] = 1
         x[k, 1 + len(chosen):] = r["style"]
-    toxic = np.array([float(r["toxic"] == 1) for r in laid])
-    targets = {
-        "junk": np.array([float(r["quality"] == 0) for r in laid]),
-        "severe": toxic * (x[:, 1:1 + len(chosen)].sum(axis=1) >= SEVERE_MARKS),
-        "toxic": toxic,
-    }
+    targets = {n: np.array([float(r[c]) for r in laid]) for n, c in zip(names, columns)}
     chain.weights, last = fit_chain_arrays(x, targets, np.array([r["fold"] for r in laid]))
-    chain.threshold = best_threshold(last, toxic, precision, least)
+    chain.threshold = best_threshold(last, targets[names[-1]], precision, least)
     return chain
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text", name: str = "toxicity") -> DataFrame:
-    """``docs`` with ``name = struct(junk, severe, toxic, rejected)``: probabilities, and whether the last one passes the threshold.
+    """``docs`` with ``name``: a struct of the categories' probabilities and ``rejected``, whether the last one passes the threshold.
 
-    Null text counts as empty. Whole texts are scored; all other columns stay.
+    Null text counts as empty. Whole texts are scored; all other columns stay, one called
+    ``name`` is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -221,13 +247,14 @@ def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text", name: str
         fitted = held.value
         return pd.Series([fitted.scores(x) for x in data], index=data.index)
 
-    p = F.col("__p")
-    parts = [F.get(p, F.lit(k)).alias(c) for k, c in enumerate(CHAIN)]
-    rejected = (F.get(p, F.lit(len(CHAIN) - 1)) >= F.lit(chain.threshold)).alias("rejected")
-    return docs.withColumn("__p", scores(text_bytes(text))).withColumn(name, F.struct(*parts, rejected)).drop("__p")
+    own = free_name("p", docs)
+    p = F.col(own)
+    parts = [F.get(p, F.lit(k)).alias(c) for k, c in enumerate(chain.categories)]
+    rejected = (F.get(p, F.lit(len(chain.categories) - 1)) >= F.lit(chain.threshold)).alias("rejected")
+    return docs.withColumn(own, scores(text_bytes(text))).withColumn(name, F.struct(*parts, rejected)).drop(own)
 
 
 def without_toxic(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """The rows that the chain doesn't reject, with all their columns."""
-    scored = score_toxicity(docs, chain, text, "__toxicity")
-    return scored.where(~F.col("__toxicity.rejected")).drop("__toxicity")
+    own = free_name("toxicity", docs)
+    return score_toxicity(docs, chain, text, own).where(~F.col(f"{own}.rejected")).drop(own)

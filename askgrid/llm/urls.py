@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askgrid.llm.common import free_name
+
 # The default vocabulary; both lists are parameters.
 STRICT = ["porn", "xxx", "hardcore", "camgirls", "escorts", "warez", "keygen"]
 SOFT = ["adult", "bet", "bonus", "casino", "crack", "dating", "free", "hot", "loan", "lottery", "nude", "poker", "sex", "torrent", "win"]
@@ -82,15 +84,16 @@ def judge_urls(
     ``rules`` are ``(verdict, host/path)`` pairs. The verdict is the longest fitting
     rule's, else block for one strict term or ``soft_limit`` distinct soft ones, else
     allow. ``score`` is strict hits plus distinct soft terms divided by the limit. A null
-    URL has empty host and path, fits no rule and is allowed. All columns stay.
+    URL has empty host and path, fits no rule and is allowed. All columns stay, but one
+    that is called ``name`` is replaced.
     """
-    u = F.col(url)
-    df = pages.withColumn("__host", host_of(u)).withColumn("__path", path_of(u)).withColumn("__n", term_counts(u, strict, soft))
-    ruled = rule_of(F.col("__host"), F.col("__path"), rules)
-    own = F.when((F.col("__n.strict") > 0) | (F.col("__n.soft") >= soft_limit), F.lit("block")).otherwise(F.lit("allow"))
-    return df.withColumn("__rule", ruled).withColumn(name, F.struct(
-        F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"),
-        F.col("__n.strict").alias("strict"), F.col("__n.soft").alias("soft"),
-        (F.col("__n.strict") + F.col("__n.soft") / float(soft_limit)).alias("score"),
-        F.coalesce(F.col("__rule.verdict"), own).alias("verdict"),
-    )).drop("__host", "__path", "__n", "__rule")
+    u, held = F.col(f"`{url}`"), free_name("judged", pages)
+    found = pages.withColumn(held, F.struct(host_of(u).alias("host"), path_of(u).alias("path"), term_counts(u, strict, soft).alias("n")))
+    at = lambda field: F.col(f"{held}.{field}")
+    ruled = rule_of(at("host"), at("path"), rules)
+    own = F.when((at("n.strict") > 0) | (at("n.soft") >= soft_limit), F.lit("block")).otherwise(F.lit("allow"))
+    verdict = F.struct(
+        at("host").alias("host"), at("path").alias("path"), ruled["rule"].alias("rule"), at("n.strict").alias("strict"), at("n.soft").alias("soft"),
+        (at("n.strict") + at("n.soft") / float(soft_limit)).alias("score"), F.coalesce(ruled["verdict"], own).alias("verdict"),
+    )
+    return found.withColumn(name, verdict).drop(held)

@@ -26,3 +26,10 @@ def test_verdicts(spark):
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [tuple(c[1:]) for c in CASES]
     assert urls.judge_urls(df.limit(0), URL_RULES).count() == 0
     assert urls.judge_urls(df, [], strict=[], soft=[]).where("url_check.verdict = 'block'").count() == 0
+
+
+def test_no_column_is_lost(spark):
+    names = ["judged", "Judged_", "__host", "__path", "__n", "__rule", "host", "n"]
+    df = spark.createDataFrame([("http://a.net/es/", *names)], "url string" + "".join(f", `{n}` string" for n in names))
+    got = urls.judge_urls(df, URL_RULES)
+    assert got.columns == [*df.columns, "url_check"] and got.first()[1:-1] == tuple(names)
