@@ -17,7 +17,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 of the five-word shingles in common) the smallest id stays."""
+    """Of each group of documents whose fingerprints differ in two bits at most the smallest id stays."""
     return simhash.keep_one_of_each_group(docs)
 
 
