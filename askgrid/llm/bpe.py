@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askgrid.llm.common import of_worker
+
 #: Bytes of ids collected before a batch leaves the task.
 BATCH_BYTES = 16 << 20
-#: Pre-tokens whose ids a task remembers before it starts afresh; it only saves time.
-REMEMBERED = 200_000
+#: Pre-tokens whose ids a worker remembers; it only saves time.
+REMEMBERED = 400_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -119,9 +121,8 @@ class Encoder(dict):
         data = piece.encode("utf-8")
         found = self.hashed.find(data)
         ids = np.array([found] if found >= 0 else self.merges.split(data), dtype="<i4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = ids
+        if len(self) < REMEMBERED:  # frequent pieces come early: once full, what is kept stays
+            self[piece] = ids
         return ids
 
 
@@ -143,25 +144,31 @@ def _batches(values: list[bytes]):
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids", keep: list[str] | None = None,
+) -> DataFrame:
     """``docs`` with the token ids of ``text`` as an array of integers, without special tokens.
 
     Each match of ``pattern`` is encoded by itself; a null text is empty and has no
-    ids. Columns stay as they are; one called ``name`` is replaced. Whole texts are
-    encoded, one at a time.
+    ids. The columns of ``keep``, or all, stay as they are; one called ``name`` is replaced. Whole
+    texts are encoded, one at a time. A worker keeps what it has looked up for all its tasks.
     """
-    held = docs.sparkSession.sparkContext.broadcast(ByteBpe(path, pattern))
-    row = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != name]).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    )
+    made = ByteBpe(path, pattern)
+    held = docs.sparkSession.sparkContext.broadcast(made)
+    key = f"bpe|{xxhash.xxh3_64_hexdigest(b''.join(made.tokens))}|{pattern}"
+    columns = [c for c in (docs.columns if keep is None else keep) if c != name]
+    carried = text in columns and isinstance(docs.schema[text].dataType, T.StringType)  # one copy of the text will do
+    body = [] if carried else [F.col(f"`{text}`").cast("string").alias("text")]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *body)
+    place = columns.index(text) if carried else -1
 
     def run(batches):
         bpe = held.value
-        known, pieces = Encoder(bpe.hashed, bpe.merges), regex.compile(bpe.pattern).findall
+        known, find = of_worker(key, lambda: (Encoder(bpe.hashed, bpe.merges), regex.compile(bpe.pattern).findall))
         for batch in batches:
             start, size, found = 0, 0, []
-            for k, text in enumerate(batch.column("text")):
-                found.append(bpe.encode_bytes(text.as_py(), pieces, known))
+            for k, text in enumerate(batch.column("row").field(place) if carried else batch.column("text")):
+                found.append(bpe.encode_bytes(text.as_py() or "", find, known))
                 size += len(found[-1])
                 if size >= BATCH_BYTES or k == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, k + 1 - start), _batches(found)], names=["row", "ids"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,14 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
 
+def of_worker(key: str, make):
+    """What ``make`` gives, made once for all tasks that a Python worker runs."""
+    held = sys.modules.setdefault("askgrid_of_worker", types.ModuleType("askgrid_of_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def free_name(name: str, df: DataFrame) -> str:
     """``name``, made longer until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -23,8 +23,7 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    encoded = encoded.withColumns({
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"]).withColumns({
         "n_tokens": F.size("ids").cast("long"),
         "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256),
     })

@@ -49,3 +49,12 @@ def test_defined_cases(spark, wide_docs, no_docs):
     assert bpe.decode(bpe.encode(no_docs, PATH, public_tokenizers.PATTERN), PATH).count() == 0
     wide = bpe.decode(bpe.encode(wide_docs, PATH, public_tokenizers.PATTERN), PATH)
     assert wide.columns == [c for c in wide_docs.columns if c != "ids"] + ["ids", "decoded"] and wide.where("decoded <> cast(coalesce(text, '') as binary)").count() == 0
+
+
+def test_kept_columns_and_a_full_memory(spark, docs, rows, library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    found = bpe.encode(docs, PATH, public_tokenizers.PATTERN, keep=["doc_id"])
+    assert found.columns == ["doc_id", "ids"]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(((i, library.encode_ordinary(t or "")) for i, t in rows), key=str)
+    numbers = bpe.encode(spark.range(3).withColumnRenamed("id", "n"), PATH, public_tokenizers.PATTERN, text="n")
+    assert [tuple(r) for r in numbers.collect()] == [(n, library.encode_ordinary(str(n))) for n in range(3)]
