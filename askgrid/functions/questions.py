@@ -97,8 +97,8 @@ def _like(cell: Column, pattern: Column) -> Column:
     return F.ilike(cell, F.replace(pattern, F.lit("\\"), F.lit("\\\\")))
 
 
-def _holds(cond: Column, number: Column, text: Column) -> Column:
-    """One condition on one cell; the column's type decides how to compare."""
+def holds(cond: Column, number: Column, text: Column) -> Column:
+    """One condition (its ``op``, ``val``, ``num`` and ``real``) on one cell; the column's type decides how to compare."""
     # A text literal sorts after every number.
     against_text = cond["op"].isin("<", "<=", "<>", "!=")
     real = (
@@ -176,7 +176,7 @@ def matching_rows(table: Column, r: Column) -> Column:
     def keeps(i: Column) -> Column:
         return F.forall(
             r["conds"],
-            lambda c: _holds(
+            lambda c: holds(
                 c,
                 _known(F.get(F.get(table["numbers"], i), c["ix"])),
                 F.get(F.get(table["rows"], i), c["ix"]),

@@ -108,6 +108,11 @@ def answer_grouped(
         F.coalesce(q["pick"], F.lit("*")).alias("pick"),
         F.explode(let(TB.typed_table(F.col(data)), picked)).alias("p"),
     )
+    return grouped_values(rows, keys)
+
+
+def grouped_values(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum up ``(keys, agg, pick, p(key, cell))`` by record and group value; ``pick`` is ``*`` for all columns."""
     cell = F.col("p.cell")
     known = cell["num"].isNotNull() | cell["txt"].isNotNull()
     number = F.when(known, F.coalesce(cell["num"], Q.leading_number(cell["txt"])))

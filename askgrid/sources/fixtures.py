@@ -15,6 +15,7 @@ from askgrid.functions.binding import let, settle
 from askgrid.functions.hashing import digest
 from askgrid.functions.numbers import bound_text, round2
 from askgrid.functions.questions import AGGREGATES, question
+from askgrid.operators.ranking import with_rank
 from askgrid.schemas import SAMPLE, SAMPLE_FIELDS, blank_to_null
 from askgrid.sources.records import pack_rows, table_json
 
@@ -60,6 +61,28 @@ def order_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Columns that tell all order lines apart.
+LINE_KEYS_OF_ALL = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def line_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """All order lines as cells ``record, row, column, name, type, value, number``.
+
+    Every third order's lines belong to one record, which so holds a third of all rows; rows
+    of a record are numbered by the digests of their keys.
+    """
+    lines = read(spark, folder, "lineitem")
+    record = F.when(F.col("l_orderkey") % 3 == 0, F.lit("large")).otherwise(F.concat(F.lit("sql-"), "l_orderkey"))
+    keyed = lines.select(record.alias("record"), digest("row", *map(F.col, LINE_KEYS_OF_ALL)).alias("line_key"), "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
+    placed = with_rank(keyed, "line_key", ["record"], "row")
+    of = [
+        ("line", "real", whole("l_linenumber"), F.col("l_linenumber").cast("double")), ("flag", "text", F.col("l_returnflag"), F.lit(None).cast("double")),
+        ("quantity", "real", whole("l_quantity"), F.col("l_quantity")), ("price", "text", F.format_number("l_extendedprice", 2), F.lit(None).cast("double")),
+    ]
+    every = F.array(*[F.struct(F.lit(k).alias("column"), F.lit(n).alias("name"), F.lit(t).alias("type"), v.alias("value"), x.alias("number")) for k, (n, t, v, x) in enumerate(of)])
+    return placed.select("record", F.col("row").cast("long").alias("row"), F.inline(every))
+
+
 def order_question() -> Column:
     """A question per order: the aggregates in turn, one or two conditions."""
     flag = F.struct(F.lit("flag").alias("col"), F.lit("=").alias("op"), F.lit("R").alias("val"))

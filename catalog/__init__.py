@@ -4,11 +4,11 @@ import sys
 
 from pyspark import cloudpickle
 
-from catalog import batches, evaluation, prompts, scoring, selection, sources, streams, tables
+from catalog import batches, cells, evaluation, prompts, scoring, selection, sources, streams, tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = [sources, selection, prompts, evaluation, tables, batches, streams, scoring]
+MODULES = [sources, selection, prompts, evaluation, tables, cells, batches, streams, scoring]
 
 
 def queries():
