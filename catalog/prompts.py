@@ -34,7 +34,7 @@ def unfinished(spark, sf):
 
 def picks(spark, sf):
     tests, pool = tests_and_pool(spark, sf)
-    return SA.few_shot_picks(tests, pool, SHOTS, SEED)[0]
+    return SA.few_shot_picks(tests, pool, SHOTS, SEED)[0].select("sample_id", "i", "shot_id")
 
 
 def few_shot(spark, sf, reasoned):

@@ -2,21 +2,33 @@
 
 from pyspark.sql import functions as F
 
-from askgrid.functions.tokens import token_count
+from askgrid.functions.tokens import Encoder, vocabulary
 from askgrid.operators import prompts as P
 from askgrid.operators import replies as RP
 from askgrid.operators import select as S
 from askgrid.sources import fixtures as X
 from catalog.base import (
-    ANSWER_OUT, CHAT, COUNT, ROUTE_OUT, SAMPLES, TOOLS, cut_sql, inference_sql, lit, results_sql,
+    ANSWER_OUT, CHAT, PIECES, ROUTE_OUT, SAMPLES, TOOLS, cut_sql, inference_sql, lit, results_sql,
 )
 
 IDS = ["sample_id", "source", "template"]
+WORDS = 8000
+
+
+def counted_sql(text, begin):
+    """Ids of a text by the vocabulary of all these texts, pieces outside it by their bytes."""
+    return f"""
+asked AS (SELECT sample_id, {text} AS prompt FROM samples),
+flat AS (SELECT sample_id, unnest({PIECES.format('prompt')}) AS piece FROM asked),
+vocabulary AS (SELECT piece FROM (SELECT piece, count(*) AS n FROM flat GROUP BY piece) ORDER BY n DESC, piece LIMIT {WORDS}),
+sizes AS (SELECT f.sample_id, sum(CASE WHEN v.piece IS NULL THEN strlen(f.piece) ELSE 1 END) AS n FROM flat f LEFT JOIN vocabulary v USING (piece) GROUP BY f.sample_id),
+counted AS (SELECT sample_id, CASE WHEN prompt IS NOT NULL THEN CAST({begin} + coalesce(n, 0) AS INT) END AS n_tokens FROM asked LEFT JOIN sizes USING (sample_id))"""
 
 
 def lengths(spark, sf):
     rows = X.samples(spark, sf).withColumn("prompt", P.inference_prompt(TOOLS))
-    return S.split_by_length(rows.withColumn("n_tokens", token_count(F.col("prompt"))))
+    encoder = Encoder(vocabulary(rows, "prompt", WORDS))
+    return S.split_by_length(rows.withColumn("n_tokens", encoder.count(F.col("prompt"))))
 
 
 def length_gate(spark, sf):
@@ -31,7 +43,8 @@ def kept_and_dropped(kept, dropped):
 def budget_gate(spark, sf):
     rows = X.samples(spark, sf).withColumn("prompt", P.inference_prompt(CHAT, F.lit("generic-3")))
     chat = rows.withColumn("messages", P.chat_messages(CHAT, F.col("prompt")))
-    counted = chat.withColumn("n_tokens", token_count(P.chat_text(F.col("messages")), begin=False))
+    texts = chat.withColumn("chat", P.chat_text(F.col("messages")))
+    counted = texts.withColumn("n_tokens", Encoder(vocabulary(texts, "chat", WORDS)).count(F.col("chat"), begin=False))
     return kept_and_dropped(*S.split_by_length(counted, limit=4096))
 
 
@@ -82,13 +95,10 @@ QUERIES = {
         f"{SAMPLES} SELECT sample_id, coalesce(derivation_eval, derivation_sql) AS gold_eval FROM samples"),
     "b6_length_gate": (
         length_gate,
-        f"""{SAMPLES} SELECT sample_id, n_tokens, n_tokens < 1024 AS kept
-            FROM (SELECT sample_id, {COUNT.format('prompt')} AS n_tokens FROM (SELECT *, {inference_sql(TOOLS)} AS prompt FROM samples))"""),
+        f"{SAMPLES}, {counted_sql(inference_sql(TOOLS), 1)} SELECT sample_id, n_tokens, n_tokens < 1024 AS kept FROM counted"),
     "b7_budget_gate": (
         budget_gate,
-        f"""{SAMPLES} SELECT *, n_tokens < 4096 AS kept FROM (SELECT sample_id,
-              {COUNT.format(f"({SYSTEM} || chr(10) || prompt || chr(10))")} - 1 AS n_tokens
-            FROM (SELECT *, {CHAT_PROMPT} AS prompt FROM samples))"""),
+        f"{SAMPLES}, {counted_sql(f'({SYSTEM} || chr(10) || ({CHAT_PROMPT}) || chr(10))', 0)} SELECT sample_id, n_tokens, n_tokens < 4096 AS kept FROM counted"),
     "b8_example_rows": (
         lambda spark, sf: S.example_rows(X.samples(spark, sf)),
         f"{SAMPLES} SELECT instruction, input, data, output FROM samples"),

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from askgrid.functions.tokens import vocabulary
+from askgrid.functions.tokens import Encoder, pieces, vocabulary
 from askgrid.operators import batches as B
 from askgrid.operators import prompts as P
 from askgrid.operators import sampling as SA
@@ -112,12 +112,44 @@ def test_encode_and_pad(spark):
     words = vocabulary(df.where("sample_id <> 'c'"), "text", 3)
     enc = {r.sample_id: r.input_ids for r in B.encode(df, "text", words, 4).collect()}
     assert enc == {"a": [1, 259, 260, 2], "b": [1, 259, 2], "c": [1, 259, 3 + ord("q"), 2]}
-    plan = B.encode(df, "text", words, 4)._jdf.queryExecution().optimizedPlan().toString()
-    assert "AS vocabulary_index" not in plan
+    placed = {r.sample_id: r for r in B.padded_batches(B.encode(df, "text", words, 4), 0, 3).collect()}
     rows = B.padded(B.batched(B.shuffled(B.encode(df, "text", words, 4)), 3)).collect()
     for r in rows:
         assert r.width == 8 and len(r.input_ids) == len(r.labels) == 8
         assert r.labels[: 8 - r.length] == [-100] * (8 - r.length) and r.labels[8 - r.length:] == r.input_ids[8 - r.length:]
+        assert all(placed[r.sample_id][c] == r[c] for c in ("position", "batch", "width", "input_ids", "labels", "attention_mask"))
+
+
+def test_ids_are_counted_and_cut_as_they_are(spark):
+    texts = ["plain words, 12 of them", "Ünï \u00a0 漢字🙂 x", "", None, "a " * 3000, "é" * 50, "\x0b\x1c\x85\u2003 tail", "known known é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    encoder = Encoder(vocabulary(df.where("n IN (0, 7)"), "text", 5))
+    whole, some, count, parts = (df.select("n", c.alias("x")).orderBy("n").collect() for c in (encoder.ids(F.col("text")), encoder.ids(F.col("text"), 7), encoder.count(F.col("text"), False), F.size(pieces(F.col("text")))))
+    for a, b, c, d, t in zip(whole, some, count, parts, texts):
+        assert (a.x is None and b.x is None and c.x is None) if t is None else (a.x[:7] == b.x and len(a.x) == c.x >= d.x)
+    assert whole[5].x == [3 + b for b in ("é" * 50).encode()] and len(whole[4].x) == 3000
+
+
+def test_draws_of_a_small_pool_are_spread(spark):
+    row = "sample_id string, source string, template string"
+    pool = spark.createDataFrame([(f"p{n}", "s", "t") for n in range(10)] + [("q0", "s", "u")], row)
+    tests = spark.range(100_000).select(F.col("id").cast("string").alias("sample_id"), F.lit("s").alias("source"), F.lit("t").alias("template"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        picks, too_few = SA.few_shot_picks(tests, pool, 3, 5)
+        shots = pool.select("sample_id", F.concat(F.lit("text of "), "sample_id").alias("shot"))
+        for part in (picks, SA.attach_shots(picks, shots)):
+            sizes = sorted(r["count"] for r in part.groupBy(F.spark_partition_id()).count().collect())
+            assert sum(sizes) == 300_000 and len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
+        assert too_few.count() == 0
+        some = picks.groupBy("sample_id").agg(F.count_distinct("shot_id").alias("n"), F.sort_array(F.collect_list("i")).alias("i"))
+        assert some.where("n <> 3 OR i <> array(1, 2, 3)").count() == 0
+        plain, _ = SA.few_shot_picks(tests, pool, 3, 5, load=10**9)
+        assert plain.select("sample_id", "i", "shot_id").exceptAll(picks.select("sample_id", "i", "shot_id")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_match_and_merge(spark):
