@@ -10,19 +10,29 @@ from askgrid.llm import bpe, decontaminate, simhash, substrings, toxicity
 from askgrid.session import new_path
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most so many rows at once: texts of many tasks and stages share an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
+    bounded_batches(spark)
     chain = toxicity.fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, chain)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose fingerprints differ in two bits at most the smallest id stays."""
+    bounded_batches(spark)
     return simhash.keep_one_of_each_group(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words go that stand in windows of 13 which a document with a smaller id has; other texts stay as they are."""
+    bounded_batches(spark)
     found = substrings.without_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     changed = {"text": text}
@@ -34,11 +44,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go of whose words a twentieth stands in benchmark windows."""
+    bounded_batches(spark)
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
+    bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
