@@ -22,7 +22,7 @@ def parsed(spark, sf):
 
 
 def inferred(spark, sf):
-    tables = X.order_tables(spark, sf).where(F.col("l_orderkey") % 2 == 1)
+    tables = X.order_tables(spark, sf)
     types = let(TB.parse_table(F.col("data")), lambda t: TB.infer_types(t["header"], t["rows"]))
     return tables.select("sample_id", F.array_join(types, ",").alias("types"))
 
@@ -135,7 +135,7 @@ QUERIES = {
             CASE WHEN l_orderkey % 7 = 0 THEN 'bad_json' ELSE 'ok' END AS status FROM lines GROUP BY sample_id, l_orderkey"""),
     "g2_infer_types": (
         inferred,
-        f"{W} SELECT DISTINCT sample_id, 'real,text,real,text' AS types FROM lines WHERE l_orderkey % 2 = 1"),
+        f"{W} SELECT DISTINCT sample_id, 'real,text,real,text' AS types FROM lines"),
     "g3_column_names": (
         header_names,
         f"""SELECT o_orderkey, o_orderstatus || ',' || {YEAR} || ',' ||
