@@ -9,11 +9,12 @@ base, is the prefix sum of the counts of those before it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
-import types
 import uuid
+from itertools import accumulate, chain, compress, repeat
+from operator import is_
 from zlib import crc32
 
 import numpy as np
@@ -24,17 +25,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from askgrid.llm.common import NO_ID, partitions_of
+from askgrid.llm.common import NO_ID, of_worker, partitions_of
 
-#: Pieces whose ids a worker remembers before it starts afresh; it only saves time.
+#: Pieces whose ids a worker remembers; it only saves time.
 REMEMBERED = 800_000
-#: Texts encoded at once.
-TEXTS = 200
+#: Texts encoded at once, and pieces on a line.
+TEXTS, LINE = 200, 5000
 #: A store is written in pieces of this many bytes.
 CHUNK = 8 << 20
 # A mark that ends a word before a blank is a token of its own, so a blank may part them.
 _END_MARK = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=[ \n]|$)")
-_BLANK = re.compile(rb"[ \n]+")
+# How a tokenizer's file spells a cut into runs that hold no white space, letters
+# apart from other signs, and what may stand before it without looking past a blank.
+_CUTS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def _steps(part: dict | None, name: str) -> list[dict]:
+    """A pipeline's steps, whether it is a sequence, a single step or missing."""
+    return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
 
 
 def width_of(tokenizer: Tokenizer, end: int) -> int:
@@ -43,48 +55,73 @@ def width_of(tokenizer: Tokenizer, end: int) -> int:
 
 
 class WordTokenizer:
-    """A ``tokenizers`` tokenizer applied to pieces of a text between blanks.
-
-    Exact for a tokenizer that lower-cases and drops white space before it merges: no
-    token spans a blank, and letters A-Z may be lower-cased before. Each piece that a
-    worker meets for the first time is encoded by the library. Added tokens may be matched
-    before lower-casing, so texts with the spelling of one, in any case, are encoded whole.
+    """A ``tokenizers`` tokenizer applied to pieces of a text between blanks, where its file allows it.
+
+    It does if the file's own cut drops white space and parts letters from signs, and what it
+    does before looks at no blank's other side: then no token spans a blank. Letters A-Z are
+    lower-cased before only if the file lower-cases. New pieces are encoded by the library, many on a
+    line, and told apart by where their tokens begin. Added tokens may be matched before all that, so
+    texts with the spelling of one, in any case, are encoded whole, and so is every text with any other
+    tokenizer.
     """
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width_of(self.tokenizer, end)
         self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        normal, cuts = _steps(parts.get("normalizer"), "normalizers"), _steps(parts.get("pre_tokenizer"), "pretokenizers")
+        self.lowers = {"type": "Lowercase"} in normal
+        plain = all(parts.get(k) is None for k in ("truncation", "padding")) and not parts["model"].get("dropout")
+        self.by_words = plain and cuts == _CUTS and all(step in _NORMAL for step in normal)
         added = [t.content.encode("utf-8").lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile(b"|".join(map(re.escape, added)) if added else rb"(?!)")
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Token ids as the library gives them."""
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes() for t in texts]
+
+    def encoded_words(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of pieces without blanks."""
+        out, texts = [], [w.decode("utf-8") for w in words]
+        for k in range(0, len(texts), LINE):
+            line = texts[k:k + LINE]
+            found = self.tokenizer.encode(" ".join(line), add_special_tokens=False)
+            ids = np.array(found.ids, dtype=f"<u{self.width}").tobytes()
+            starts = np.cumsum([0, *(len(t) + 1 for t in line)])
+            begins = np.fromiter((s for s, _ in found.offsets), dtype=np.int64, count=len(found.ids))
+            at = (np.searchsorted(begins, starts) * self.width).tolist()
+            out += [ids[s:e] for s, e in zip(at, at[1:])]
+        return out
 
     @staticmethod
     def of_worker(path: str, end: int) -> WordTokenizer:
         """One for all tasks that a worker runs: it keeps what it has seen."""
-        held = sys.modules.setdefault("askgrid_word_tokenizers", types.ModuleType("askgrid_word_tokenizers"))
-        key = f"{path}|{end}"
-        if key not in held.__dict__:
-            held.__dict__[key] = WordTokenizer(path, end)
-        return held.__dict__[key]
+        return of_worker(f"words|{path}|{end}", lambda: WordTokenizer(path, end))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        lower = [t.encode("utf-8").lower() for t in texts]
+        if not self.by_words:
+            return self.encoded(texts)
+        data = [t.encode("utf-8") for t in texts]
+        lower = [t.lower() for t in data]
         whole = [k for k, t in enumerate(lower) if self.added.search(t)]
+        pieces = [_END_MARK.sub(rb" \1", t).split() for t in (lower if self.lowers else data)]
         for k in whole:
-            lower[k] = b""
-        pieces = [_BLANK.split(_END_MARK.sub(rb" \1", t)) for t in lower]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for ps in pieces for p in ps if p not in self.known})
-        self.known.update(zip(new, self.encoded([p.decode("utf-8") for p in new])))
-        known = self.known
-        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
-        for k, ids in zip(whole, self.encoded([texts[k] for k in whole])):
-            out[k] = ids
+            pieces[k] = []
+        flat = list(chain.from_iterable(pieces))
+        found = list(map(self.known.get, flat))
+        missing = list(compress(range(len(flat)), map(is_, found, repeat(None))))
+        new = list({flat[k] for k in missing})
+        ids = dict(zip(new, self.encoded_words(new)))
+        for k in missing:
+            found[k] = ids[flat[k]]
+        if len(self.known) < REMEMBERED:  # frequent pieces come early: once full, what is kept stays
+            self.known.update(ids)
+        ends = list(accumulate(map(len, pieces), initial=0))
+        out = [b"".join(found[s:e]) for s, e in zip(ends, ends[1:])]
+        for k, own in zip(whole, self.encoded([texts[k] for k in whole])):
+            out[k] = own
         return out
 
 

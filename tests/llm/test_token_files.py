@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -38,3 +39,37 @@ def test_added_tokens_in_any_case():
     library = Tokenizer.from_file(PATH)
     got = token_files.WordTokenizer(PATH, 2)(texts)
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def changed(tmp_path, name, change):
+    with open(PATH, encoding="utf-8") as file:
+        parts = json.load(file)
+    change(parts)
+    path = str(tmp_path / f"{name}.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(parts, file)
+    return path
+
+
+def test_other_tokenizers_are_read_from_their_files(tmp_path, rows, monkeypatch):
+    """Without lower-casing, with another cut, without any: always what the library gives."""
+    texts = ["Hello World. Foo", "Don't STOP... now!  Ünï\u00a0x \u0308a e\u0301 E\u0301. 3.5, ab.", "a<|endoftext|>B"] + [t or "" for _, t in rows[:60] + rows[-14:]]
+    cases = {
+        "as it is": (lambda p: None, True),
+        "no normalizer": (lambda p: p.update(normalizer=None), True),
+        "only NFC": (lambda p: p.update(normalizer={"type": "NFC"}), True),
+        "stripped": (lambda p: p.update(normalizer={"type": "Strip", "strip_left": True, "strip_right": True}), False),
+        "bytes with blanks": (lambda p: p.update(pre_tokenizer={"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}), False),
+        "no cut": (lambda p: p.update(pre_tokenizer=None), False),
+        "cut off": (lambda p: p.update(truncation={"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}), False),
+    }
+    for name, (change, by_words) in cases.items():
+        path = changed(tmp_path, name, change)
+        library, mine = Tokenizer.from_file(path), token_files.WordTokenizer(path, 2)
+        assert mine.by_words == by_words, name
+        for remembered in (10**6, 3):
+            monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+            for _ in range(2):
+                got = [np.frombuffer(x, "<u2").tolist() for x in mine(texts)]
+                assert got == [library.encode(t, add_special_tokens=False).ids for t in texts], name
+            mine.known.clear()
