@@ -73,23 +73,28 @@ def with_subset_hashes(df: DataFrame, kinds: list[str]) -> DataFrame:
     ])
 
 
-def fingerprints(rows: DataFrame, key: list[str], texts: dict[str, str], words: DataFrame) -> DataFrame:
-    """``key`` and for each ``name: text column`` of ``texts`` its slots, an array of hashes.
+def fingerprints(rows: DataFrame, key: list[str], own: list[str], texts: dict[str, str], words: DataFrame) -> DataFrame:
+    """``key``, ``own`` and for each ``name: text column`` of ``texts`` its slots, an array of hashes.
 
-    Rows of equal key must not occur. Rows without a term of the lexicon in any text are
-    absent.
+    Rows of equal key must not occur. Every row sends one marker with its own columns along with its
+    terms, so one grouping gives both and rows without a term of the lexicon stay, with empty slots.
+    Where ``rows`` are spread by a part of the key, nothing is shuffled.
     """
     kinds = list(texts)
-    tagged = F.concat(*[
+    marker = F.array(F.struct(F.lit(-1).alias("kind"), F.xxhash64(*key).alias("term")))
+    tagged = F.concat(marker, *[
         F.transform(terms_of(F.col(texts[kind])), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("term")))
         for k, kind in enumerate(kinds)
     ])
+    words = words.withColumn("kept", F.lit(True))
     words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
-    hits = rows.select(*key, F.inline(tagged)).join(words, "term")
-    gathered = hits.groupBy(*key).agg(*[
+    sent = rows.select(*key, F.struct(*own).alias("own"), tagged.alias("tagged")).select(*key, "own", F.inline("tagged"))
+    sent = sent.withColumn("own", F.when(F.col("kind") < 0, F.col("own")))
+    hits = sent.join(words, "term", "left").where((F.col("kind") < 0) | F.col("kept"))
+    gathered = hits.groupBy(*key).agg(F.max("own").alias("own"), *[
         F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(kind) for k, kind in enumerate(kinds)
     ])
-    return with_subset_hashes(gathered, kinds)
+    return with_subset_hashes(gathered.select(*key, "own.*", *kinds), kinds)
 
 
 def shown(slots: Column, digest: Column) -> Column:
@@ -122,36 +127,44 @@ def _range_of(value: Column, cuts: list[int]) -> Column:
     return F.when(block > 0, (block - 1) * size + upto(inner)).otherwise(0)
 
 
-def in_order(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Rows ``(part, place, id, text)``: ascending ids, cut into ranges that a task sorts.
+def in_ranges(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Rows ``(part, id, text)``: ascending ids, cut into ranges.
 
-    Null ids come first; rows with one id are ordered by their text's digest. The cuts
-    are approximate quantiles of the ids, as many as there are shuffle partitions.
+    Null ids are in the first range. The cuts are approximate quantiles of the ids, as many as
+    there are shuffle partitions. Rows of one id, or without one, are one range, which one task sorts.
     """
     parts = partitions_of(docs)
     steps = [k / parts for k in range(1, parts)] or [0.5]
-    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), steps, 1000)).first()[0] or []
+    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), steps, max(1000, 20 * parts))).first()[0] or []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("part", F.coalesce(_range_of(F.col("id"), sorted(set(cuts))), F.lit(0)))
-    order = Window.partitionBy("part").orderBy("id", F.xxhash64("text"))
-    return rows.withColumn("place", F.row_number().over(order))
+    return rows.withColumn("part", F.coalesce(_range_of(F.col("id"), sorted(set(cuts))), F.lit(0)))
 
 
-def with_next(rows: DataFrame, columns: list[str], tag: str) -> DataFrame:
-    """``rows`` with ``next_<column>`` of the following row; the first row follows the last."""
-    order = Window.partitionBy("part").orderBy("place")
-    own = rows.select("*", *[F.lead(c).over(order).alias(f"in_{c}") for c in columns], F.lead("place").over(order).alias("in_place"))
-    heads = written(rows.where("place = 1").select("part", *[F.col(c).alias(f"of_{c}") for c in columns]), tag)
+def heads_of(firsts: DataFrame, tag: str) -> DataFrame:
+    """The first rows of all ranges, as ``of_`` columns, by the range before; the first range follows the last."""
+    heads = written(firsts.select("part", *[F.col(c).alias(f"of_{c}") for c in firsts.columns if c != "part"]), tag)
     # One row per range: few rows, and all that a range needs of the others.
     line = heads.select("part").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     ring = line.select(F.posexplode("parts").alias("k", "at"), "parts").select(
         F.col("at"), F.element_at("parts", (F.col("k") + 1) % F.size("parts") + 1).alias("part")
     )
-    heads = heads.join(ring, "part").drop("part").withColumnRenamed("at", "part")
-    inner = own.where(F.col("in_place").isNotNull()).select(*rows.columns, *[F.col(f"in_{c}").alias(f"next_{c}") for c in columns])
-    # Only the last row of each range is joined: the texts of the others stay where they are.
-    ended = own.where(F.col("in_place").isNull()).select(rows.columns)
-    return inner.union(ended.join(heads, "part").select(*rows.columns, *[F.col(f"of_{c}").alias(f"next_{c}") for c in columns]))
+    return heads.join(ring, "part").drop("part").withColumnRenamed("at", "part")
+
+
+def with_next_text(ranged: DataFrame) -> DataFrame:
+    """Add ``place``, ``last`` and ``next_text``, the text of the following row; the first row follows the last.
+
+    Null ids come first; rows with one id are ordered by their text's digest. Each range is sorted once.
+    """
+    order = Window.partitionBy("part").orderBy("id", F.xxhash64("text"))
+    placed = ranged.withColumns({"place": F.row_number().over(order), "following": F.lead("text").over(order)})
+    firsts = ranged.withColumn("place", F.row_number().over(order)).where("place = 1").select("part", "text")
+    last = F.col("following").isNull()
+    # Only the last row of a range meets the first one of the next range.
+    heads = heads_of(firsts, "heads").withColumnRenamed("part", "before")
+    return placed.join(heads, (F.col("part") == F.col("before")) & last, "left").select(
+        "part", "place", "id", "text", last.alias("last"), F.when(last, F.col("of_text")).otherwise(F.col("following")).alias("next_text")
+    )
 
 
 def edited_text() -> Column:
@@ -171,22 +184,30 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     lexicon is known by its own digest and is like equal texts only.
     """
     words = lexicon(docs, text, band)
-    rows = with_next(in_order(docs, id_col, text), ["text"], "heads").withColumn("edited", edited_text())
-    key = ["part", "place"]
-    plain = rows.select(
-        *key, "id", F.length("text").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.xxhash64("text").alias("digest"), F.xxhash64("edited").alias("edited_digest"),
-    )
-    slots = fingerprints(rows, key, {"slots": "text", "edited_slots": "edited"}, words)
-    none = F.array_repeat(F.lit(None).cast("long"), SEEDS * RATES)
+    rows = with_next_text(in_ranges(docs, id_col, text)).withColumn("edited", edited_text())
+    own = {
+        "last": F.col("last"), "id": F.col("id"), "n_chars": F.length("text").cast("long"),
+        "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256),
+        "digest": F.xxhash64("text"), "edited_digest": F.xxhash64("edited"),
+    }
+    rows = rows.select("part", "place", "text", "edited", *[c.alias(name) for name, c in own.items()])
+    found = fingerprints(rows, ["part", "place"], list(own), {"slots": "text", "edited_slots": "edited"}, words)
+    order = Window.partitionBy("part").orderBy("place")
+    following = found.withColumns({"next_slots": F.lead("slots").over(order), "next_digest": F.lead("digest").over(order)})
+
+    def near_next(slots: str, digest: str) -> Column:
+        return likeness(F.col("slots"), F.col(slots), F.col("digest") == F.col(digest))
+
     both = written(
-        plain.join(slots, key, "left").withColumns({c: F.coalesce(c, none) for c in ("slots", "edited_slots")}), "fingerprints"
+        following.withColumn("near_next", near_next("next_slots", "next_digest")).drop("next_slots", "next_digest"), "fingerprints"
     )
-    near = with_next(both, ["slots", "digest"], "fingerprint-heads")
-    return near.select(
-        "id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+    # A range's last row is compared with the first row of the next range.
+    heads = heads_of(both.where("place = 1").select("part", "slots", "digest"), "fingerprint-heads")
+    ends = both.where("last").join(heads, "part").withColumn("near_next", near_next("of_slots", "of_digest")).select(both.columns)
+    return both.where("not last").union(ends).select(
+        "id", "n_chars", "edited_sha256",
         shown(F.col("slots"), F.col("digest")).alias("fingerprint"),
         shown(F.col("edited_slots"), F.col("edited_digest")).alias("edited_fingerprint"),
         likeness(F.col("slots"), F.col("edited_slots"), F.col("digest") == F.col("edited_digest")).alias("near_edited"),
-        likeness(F.col("slots"), F.col("next_slots"), F.col("digest") == F.col("next_digest")).alias("near_next"),
+        "near_next",
     )
