@@ -169,11 +169,11 @@ def reasoned_shot(prompt: Column, reply: Column, gold: Column) -> Column:
     return F.concat(prompt, reasoning, F.lit(f"{ANSWER_MARK}: "), gold)
 
 
-def few_shot_prompt(tests: DataFrame, shots: DataFrame, key: str = "sample_id") -> DataFrame:
+def few_shot_prompt(tests: DataFrame, shots: DataFrame, key: str = "sample_id", shots_found: str | None = None) -> DataFrame:
     """Add ``few_shot_prompt``: numbered shots before the row's own ``prompt``.
 
     ``shots`` holds ``(key, i, shot)`` with i = 1..k; a group is k rows long. Rows
-    without shots keep their prompt.
+    without shots keep their prompt. ``shots_found`` names a column for the number of a row's shots.
     """
     joined = (
         shots.groupBy(key)
@@ -187,10 +187,12 @@ def few_shot_prompt(tests: DataFrame, shots: DataFrame, key: str = "sample_id")
                 ),
                 "",
             ).alias("shot_text"),
+            *([F.size("shots").alias(shots_found)] if shots_found else []),
         )
     )
     opening = F.when(F.col("shot_text").isNotNull(), F.concat("shot_text", F.lit(NOW_ANSWER))).otherwise(F.lit(""))
-    return tests.join(joined, key, "left").withColumn("few_shot_prompt", F.concat(opening, F.col("prompt"))).drop("shot_text")
+    full = tests.join(joined, key, "left").withColumn("few_shot_prompt", F.concat(opening, F.col("prompt"))).drop("shot_text")
+    return full.withColumn(shots_found, F.coalesce(shots_found, F.lit(0))) if shots_found else full
 
 
 def chat_messages(templates: Templates, prompt: Column, reasoned: bool = True, route: str = "generic-3") -> Column:

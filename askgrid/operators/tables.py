@@ -155,6 +155,10 @@ def ask_sql(df: DataFrame, text: str) -> str:
 
 
 def run_sql(df: DataFrame, text: str) -> DataFrame:
-    """Run Spark SQL over one large table named ``data_table``."""
-    df.createOrReplaceTempView("data_table")
-    return df.sparkSession.sql(text)
+    """Run Spark SQL over one large table named ``data_table``.
+
+    The name holds inside this query alone, so calls in one session never meet, and a view of
+    that name in the session stays as it is.
+    """
+    body = text.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql("WITH data_table AS (SELECT * FROM {asked_rows}) SELECT * FROM (\n" + body + "\n)", asked_rows=df)

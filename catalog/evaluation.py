@@ -3,14 +3,18 @@
 from pyspark.sql import functions as F
 
 from askgrid.functions import equations as EQ
+from askgrid.functions.hashing import digest
 from askgrid.operators import prompts as P
 from askgrid.operators import replies as RP
 from askgrid.operators.equations import evaluate_equations
-from askgrid.plans.evaluation import evaluate, interactive_answers, not_evaluated
+from askgrid.operators.select import external_model_rows
+from askgrid.plans.evaluation import evaluate, external_job, external_results, interactive_answers, not_evaluated
 from askgrid.sources import fixtures as X
 from catalog.base import (
-    ANSWERS, ANSWER_OUT, COUNT, EQUATIONS, ROUTE_OUT, SAMPLES, TOOLS, cut_sql, inference_sql, separator_sql,
+    ANSWERS, ANSWER_OUT, CHAT, COUNT, DONE, EQUATIONS, ROUTE_OUT, SAMPLES, TOOLS, cut_sql, inference_sql, lit, results_sql, separator_sql, training_sql,
 )
+from catalog.prompts import PICKS, SEED, SHOTS
+from catalog.prompts import reply as shot_reply
 
 
 def attached(spark, sf):
@@ -76,6 +80,37 @@ def interactive(spark, sf):
     return answered.select("sample_id", "route", "result", "eval")
 
 
+BUDGET = 600
+
+
+def external_rows(spark, sf, reasoned):
+    rows = X.samples(spark, sf)
+    tests, pool = rows.where(F.col("split") == "test"), external_model_rows(rows).where(F.col("split") == "train")
+    known = F.substring(digest("reply", F.col("sample_id")), 1, 1) < "c"
+    given = pool.where(known).select("sample_id", shot_reply().alias("reply"))
+    return external_job(
+        tests, pool, X.earlier_results(tests), CHAT if reasoned else CHAT | TOOLS, SHOTS, SEED, BUDGET, reasoned, True, given
+    )
+
+
+def external(spark, sf, reasoned):
+    job = external_rows(spark, sf, reasoned)
+    return job.select("sample_id", "reason", F.when(F.col("reason").isNull() | (F.col("reason") == "over_budget"), F.col("n_tokens")).alias("n_tokens"),
+                      F.md5(F.get("messages", F.lit(1))["content"]).alias("user_md5"))
+
+
+def external_answers(spark, sf):
+    job = external_rows(spark, sf, True)
+    digit = F.substring(digest("answer", F.col("sample_id")), 1, 1)
+    output = F.when(digit < "6", F.concat(F.lit("So ###Answer: no ###Answer: "), "source")).when(
+        digit < "c", F.concat(F.lit(" plain "), "template"))
+    replies = X.samples(spark, sf).select("sample_id", F.lit("answer").alias("stage"), output.alias("output")).where("output IS NOT NULL")
+    found, left_out = external_results(job, replies)
+    got = found.groupBy("source", "template", "pred").agg(F.count(F.lit(1)).alias("rows")).withColumn("reason", F.lit(None).cast("string"))
+    lost = left_out.groupBy("source", "template", "reason").agg(F.count(F.lit(1)).alias("rows")).withColumn("pred", F.lit(None).cast("string"))
+    return got.unionByName(lost)
+
+
 FAILED = """CASE kind_of WHEN 'script' THEN 'SQL is malformed: ' || reply || chr(10) || 'Exception:bad_question'
   WHEN 'arithmetic' THEN 'Equation is malformed: ' || reply || chr(10) || 'Exception:invalid syntax' ELSE reply END"""
 
@@ -118,6 +153,36 @@ INTERACTIVE = f"""{ALL}, {ROUTE_OUT},
   routed AS (SELECT o.*, CASE WHEN asked IN {ROUTES} THEN asked ELSE 'generic' END AS route FROM answer_out o JOIN wanted USING (sample_id))
   SELECT sample_id, route, result, eval FROM ({tool_results('route', 'routed')})"""
 
+SHOT_REPLY = "CASE WHEN substr(md5('reply|' || sample_id), 1, 1) < 'c' THEN 'Looking at ' || source || ' data.' || chr(10) ELSE 'Not evaluated' END"
+
+
+def external_sql(prompt, shot, system):
+    """Every external row with its prompt, its size and why it isn't asked."""
+    return f"""{SAMPLES}, {PICKS}, all_tests AS (SELECT * FROM samples WHERE split = 'test'), {results_sql('done', 'earlier', DONE, 'all_tests')},
+      keyed AS (SELECT DISTINCT source, template, coalesce(instruction, '') AS a, coalesce(input, '') AS b, coalesce(data, '') AS c FROM done),
+      shots AS (SELECT sample_id, {shot} AS shot FROM pool),
+      texts AS (SELECT p.sample_id, string_agg('Example ' || i || chr(10) || chr(10) || shot || chr(10) || chr(10), '' ORDER BY i) AS shot_text
+                FROM picks p JOIN shots s ON s.sample_id = p.shot_id GROUP BY p.sample_id),
+      prompted AS (SELECT *, {prompt} AS prompt FROM tests),
+      job AS (SELECT t.sample_id, t.source, t.template, k.source IS NOT NULL AS finished, x.sample_id IS NULL AS small,
+                shot_text || 'Now answer the following:' || chr(10) || chr(10) || prompt AS full_prompt
+              FROM prompted t LEFT JOIN texts x USING (sample_id) LEFT JOIN keyed k ON k.source = t.source AND k.template = t.template
+                AND k.a = coalesce(t.instruction, '') AND k.b = coalesce(t.input, '') AND k.c = coalesce(t.data, '')),
+      counted AS (SELECT *, CAST({COUNT.format(f"({lit(system)} || chr(10) || full_prompt || chr(10))")} - 1 AS INT) AS n FROM job),
+      judged AS (SELECT *, CASE WHEN finished THEN 'finished' WHEN small THEN 'pool_too_small' WHEN full_prompt IS NULL THEN 'no_prompt'
+                WHEN n >= {BUDGET} THEN 'over_budget' END AS reason FROM counted)"""
+
+
+REASONED_JOB = external_sql(
+    inference_sql(CHAT, "'generic-3'"), f"({inference_sql(CHAT, chr(39) + 'generic-3' + chr(39))}) || {SHOT_REPLY} || '###Answer: ' || output",
+    CHAT["generic-3"]["system_message_cot"])
+PLAIN_JOB = external_sql(inference_sql(TOOLS), training_sql(TOOLS), CHAT["generic-3"]["system_message_default"])
+EXTERNAL_SQL = """ SELECT sample_id, reason, CASE WHEN reason IS NULL OR reason = 'over_budget' THEN n END AS n_tokens,
+    CASE WHEN reason IS NULL THEN md5(full_prompt) END AS user_md5 FROM judged"""
+EXTERNAL_RESULTS = f"""{REASONED_JOB}, answered AS (SELECT source, template, reason, substr(md5('answer|' || sample_id), 1, 1) AS digit FROM judged),
+    told AS (SELECT source, template, coalesce(reason, CASE WHEN digit >= 'c' THEN 'no_reply' END) AS reason,
+        CASE WHEN digit < '6' THEN source WHEN digit < 'c' THEN 'plain ' || template END AS text FROM answered)
+    SELECT source, template, CASE WHEN reason IS NULL THEN text END AS pred, reason, count(*) AS rows FROM told GROUP BY ALL"""
 EQ_SQL = f"WITH {EQUATIONS} SELECT"
 QUERIES = {
     "e3_attach_reply": (
@@ -154,4 +219,7 @@ QUERIES = {
     "evaluate_test_set": (evaluation, EVALUATION),
     "evaluate_not_evaluated": (without_result, LEFT_OUT),
     "interactive_answers": (interactive, INTERACTIVE),
+    "external_job_reasoned": (lambda spark, sf: external(spark, sf, True), REASONED_JOB + EXTERNAL_SQL),
+    "external_job_plain": (lambda spark, sf: external(spark, sf, False), PLAIN_JOB + EXTERNAL_SQL),
+    "external_results": (external_answers, EXTERNAL_RESULTS),
 }
