@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrid.functions.binding import let, settle
-from askgrid.functions.hashing import digest
+from askgrid.functions.hashing import digest, hash60
 from askgrid.functions.numbers import bound_text, round2
 from askgrid.functions.questions import AGGREGATES, question
 from askgrid.operators.ranking import with_rank
@@ -270,6 +270,14 @@ def token_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sent_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`token_stream` as a channel delivers it: with times, one token in 128 lost, one in sixteen sent twice."""
+    sent = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("pos") * 10)
+    place = [F.col("request_id"), F.col("pos")]
+    kept = token_stream(spark, folder).withColumn("sent_at", sent).where(hash60("lost", *place) % 128 != 0)
+    return kept.unionByName(kept.where(hash60("twice", *place) % 16 == 0))
+
+
 def answer_outputs(df: DataFrame, templates: dict) -> DataFrame:
     """Samples with ``raw_output``: the decoded text a model would have returned.
 
