@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from askgrid.operators import prompts as P
 from askgrid.operators import sampling as SA
 from askgrid.operators.select import external_model_rows
+from askgrid.session import new_path
 from askgrid.sources import fixtures as X
+from askgrid.sources.result_store import ResultStore
 from catalog.base import (
     CHAT, DONE, HASH60, KIND, SAMPLES, TOOLS, inference_sql, lit, results_sql, training_sql,
 )
@@ -32,6 +34,18 @@ def unfinished(spark, sf):
     return SA.without_finished(tests, X.earlier_results(tests)).select("sample_id", "source", "template")
 
 
+def new_store(spark, name):
+    path = new_path(spark, name)
+    return ResultStore(spark, path.rsplit("/", 1)[1].replace("-", "_"), path, int(spark.conf.get("spark.sql.shuffle.partitions"))).create()
+
+
+def unfinished_in_store(spark, sf):
+    tests = X.samples(spark, sf).where(F.col("split") == "test")
+    store = new_store(spark, "finished")
+    store.merge(X.earlier_results(tests).withColumn("run_hour", F.lit("20230829_09")), 0)
+    return store.unfinished(tests).select("sample_id", "source", "template")
+
+
 def picks(spark, sf):
     tests, pool = tests_and_pool(spark, sf)
     return SA.few_shot_picks(tests, pool, SHOTS, SEED)[0].select("sample_id", "i", "shot_id")
@@ -113,6 +127,11 @@ def few_shot_sql(prompt, shot):
 CHAT_PROMPT = inference_sql(CHAT, "'generic-3'")
 REASONED = f"({CHAT_PROMPT}) || 'Looking at ' || source || ' data.' || chr(10) || '###Answer: ' || output"
 
+UNFINISHED = f"""{SAMPLES}, t AS (SELECT * FROM samples WHERE split = 'test'), {results_sql('done', 'earlier', DONE, 't')}
+            SELECT sample_id, source, template FROM t WHERE NOT EXISTS (SELECT 1 FROM done d
+              WHERE d.source = t.source AND d.template = t.template AND d.instruction IS NOT DISTINCT FROM t.instruction
+                AND d.input IS NOT DISTINCT FROM t.input AND d.data IS NOT DISTINCT FROM t.data)"""
+
 QUERIES = {
     "c1_prompt_kind": (
         lambda spark, sf: X.samples(spark, sf).select("sample_id", P.prompt_kind().alias("prompt_kind")),
@@ -152,9 +171,7 @@ QUERIES = {
         f"{SAMPLES}, {EXTERNAL} {hashed(f'SELECT sample_id, {training_sql(TOOLS)} AS shot FROM pool', 'shot')}"),
     "e1_without_finished": (
         unfinished,
-        f"""{SAMPLES}, t AS (SELECT * FROM samples WHERE split = 'test'), {results_sql('done', 'earlier', DONE, 't')}
-            SELECT sample_id, source, template FROM t WHERE NOT EXISTS (SELECT 1 FROM done d
-              WHERE d.source = t.source AND d.template = t.template AND d.instruction IS NOT DISTINCT FROM t.instruction
-                AND d.input IS NOT DISTINCT FROM t.input AND d.data IS NOT DISTINCT FROM t.data)"""),
+        UNFINISHED),
+    "e1_stored_results": (unfinished_in_store, UNFINISHED),
     "e2_few_shot_picks": (picks, f"{SAMPLES}, {PICKS} SELECT sample_id, i, shot_id FROM picks"),
 }
