@@ -6,6 +6,7 @@ from askgrid.functions.tokens import Encoder, vocabulary
 from askgrid.operators import prompts as P
 from askgrid.operators import replies as RP
 from askgrid.operators import select as S
+from askgrid.session import stored
 from askgrid.sources import fixtures as X
 from catalog.base import (
     ANSWER_OUT, CHAT, PIECES, ROUTE_OUT, SAMPLES, TOOLS, cut_sql, inference_sql, lit, results_sql,
@@ -28,7 +29,12 @@ counted AS (SELECT sample_id, CASE WHEN prompt IS NOT NULL THEN CAST({begin} + c
 def lengths(spark, sf):
     rows = X.samples(spark, sf).withColumn("prompt", P.inference_prompt(TOOLS))
     encoder = Encoder(vocabulary(rows, "prompt", WORDS))
-    return S.split_by_length(rows.withColumn("n_tokens", encoder.count(F.col("prompt"))))
+    return S.split_by_length(counted_once(rows.withColumn("n_tokens", encoder.count(F.col("prompt")))))
+
+
+def counted_once(rows):
+    """Both sides of a gate are read from stored counts: texts are built and counted once."""
+    return stored(rows.select("sample_id", "n_tokens"), "counts")
 
 
 def length_gate(spark, sf):
@@ -45,7 +51,7 @@ def budget_gate(spark, sf):
     chat = rows.withColumn("messages", P.chat_messages(CHAT, F.col("prompt")))
     texts = chat.withColumn("chat", P.chat_text(F.col("messages")))
     counted = texts.withColumn("n_tokens", Encoder(vocabulary(texts, "chat", WORDS)).count(F.col("chat"), begin=False))
-    return kept_and_dropped(*S.split_by_length(counted, limit=4096))
+    return kept_and_dropped(*S.split_by_length(counted_once(counted), limit=4096))
 
 
 def stacked_results(spark, sf):

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from askgrid.functions import tokens as TK
 from askgrid.functions.tokens import Encoder, pieces, vocabulary
 from askgrid.operators import batches as B
 from askgrid.operators import prompts as P
@@ -210,3 +211,26 @@ def test_a_long_record_gets_one_answer(spark):
         "key", table_json(["n"], F.col("rows"), F.array(F.lit("real"))).alias("data"))
     rows = answer_questions(tables.withColumn("question", question("n", "SUM"))).select("answer.value").collect()
     assert [r.value for r in rows] == [4999 * 5000 / 2]
+
+
+def test_gate_counts_each_text_once(spark, sf):
+    from catalog.selection import length_gate
+
+    plan = length_gate(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("FileScan parquet") == 2
+
+
+def test_encoder_cuts_ascii_and_other_texts_alike(spark):
+    texts = ["a1 b_c\tA\x0bd", "\x1c x \x85 é1", "", None, "½ x²y", "café caf", "a" * 50 + " b" * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = spark.createDataFrame([("a", 300), ("1", 301), ("b", 302), ("é", 303)], "piece string, id int")
+    encoder = TK.Encoder(words)
+    known = {"a": 300, "1": 301, "b": 302, "é": 303}
+    for text, ids, few, n in rows.select("text", encoder.ids(F.col("text")), encoder.ids(F.col("text"), 3), encoder.count(F.col("text"))).collect():
+        if text is None:
+            assert ids is None and few is None and n is None
+            continue
+        cut = TK.regex.findall(TK.PYTHON_PIECE, text)
+        expected = [i for p in cut for i in ([known[p]] if p in known else [b + 3 for b in p.encode()])]
+        assert ids == expected and few == expected[:3] and n == len(expected) + 1
+    assert TK.finder("plain").pattern == TK.ASCII_PIECE
