@@ -30,10 +30,11 @@ def read_results(spark: SparkSession, path: str, model: str | None = None, varia
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:
-    """CSV with quotes doubled and line breaks kept inside fields."""
+    """CSV with quotes doubled and line breaks kept inside fields, in gzip: such files aren't cut for reading anyway."""
     (
         df.write.mode("overwrite")
         .option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n")
+        .option("compression", "gzip")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
