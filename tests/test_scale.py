@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from askgrid.operators import sampling as SA
+from askgrid.operators.replies import attach_reply
 from askgrid.schemas import RESULT
 from askgrid.session import new_path, settings
 from askgrid.sources.results import read_results_csv, write_results_csv
@@ -41,3 +42,15 @@ def test_results_are_written_small(spark):
     text = rows.agg(F.sum(F.length(F.concat(*RESULT.names)))).first()[0]
     assert size < text / 5
     assert read_results_csv(spark, path).exceptAll(rows).count() == 0 and read_results_csv(spark, path).count() == 1000
+
+
+def test_replies_are_shuffled_before_they_are_sorted(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "sample_id string")
+    replies = spark.createDataFrame(
+        [("a", "answer", "x"), ("a", "answer", "y"), ("a", "route", "z"), ("b", "answer", None), (None, "answer", "n")],
+        "sample_id string, stage string, output string")
+    once = attach_reply(rows, replies, "answer", "raw", few_copies=True)
+    lines = once._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = {kind: [n for n, line in enumerate(lines) if kind in line] for kind in ("SortAggregate", "REPARTITION_BY_NUM")}
+    assert max(depth["SortAggregate"]) < min(depth["REPARTITION_BY_NUM"])  # the shuffle stands below both sorts
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, attach_reply(rows, replies, "answer", "raw").collect()), key=str)
