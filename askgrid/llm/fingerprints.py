@@ -14,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrid.llm.common import partitions_of, written
+from askgrid.llm.common import partitions_of
+from askgrid.session import stored
 
 IDF_BAND = (3.0, 7.5)
 SEEDS, RATES = 5, 9
@@ -37,7 +38,7 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = IDF
     count = docs.count()
     low, high = (count * math.exp(-x) for x in band[::-1])
     counts = docs.select(F.explode(terms_of(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return written(counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("term"), "lexicon")
+    return stored(counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("term"), "lexicon")
 
 
 #: What Spark's xxhash64 gives for an array without elements.
@@ -141,7 +142,7 @@ def with_next(rows: DataFrame, columns: list[str], tag: str) -> DataFrame:
     """``rows`` with ``next_<column>`` of the following row; the first row follows the last."""
     order = Window.partitionBy("part").orderBy("place")
     own = rows.select("*", *[F.lead(c).over(order).alias(f"in_{c}") for c in columns], F.lead("place").over(order).alias("in_place"))
-    heads = written(rows.where("place = 1").select("part", *[F.col(c).alias(f"of_{c}") for c in columns]), tag)
+    heads = stored(rows.where("place = 1").select("part", *[F.col(c).alias(f"of_{c}") for c in columns]), tag)
     # One row per range: few rows, and all that a range needs of the others.
     line = heads.select("part").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     ring = line.select(F.posexplode("parts").alias("k", "at"), "parts").select(
@@ -173,18 +174,18 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     words = lexicon(docs, text, band)
     rows = with_next(in_order(docs, id_col, text), ["text"], "heads").withColumn("edited", edited_text())
     key = ["part", "place"]
-    plain = rows.select(
-        *key, "id", F.length("text").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    plain = rows.select(  # digests as bytes: their hex text would be twice as long in both shuffles that follow
+        *key, "id", F.length("text").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha256"),
         F.xxhash64("text").alias("digest"), F.xxhash64("edited").alias("edited_digest"),
     )
     slots = fingerprints(rows, key, {"slots": "text", "edited_slots": "edited"}, words)
     none = F.array_repeat(F.lit(None).cast("long"), SEEDS * RATES)
-    both = written(
+    both = stored(
         plain.join(slots, key, "left").withColumns({c: F.coalesce(c, none) for c in ("slots", "edited_slots")}), "fingerprints"
     )
     near = with_next(both, ["slots", "digest"], "fingerprint-heads")
     return near.select(
-        "id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        "id", F.col("n_chars").cast("long").alias("n_chars"), F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
         shown(F.col("slots"), F.col("digest")).alias("fingerprint"),
         shown(F.col("edited_slots"), F.col("edited_digest")).alias("edited_fingerprint"),
         likeness(F.col("slots"), F.col("edited_slots"), F.col("digest") == F.col("edited_digest")).alias("near_edited"),

@@ -1,11 +1,13 @@
 """Work that grows with the input is shared by as many tasks as there are."""
 
 import glob
+import hashlib
 import os
 import re
 
 from pyspark.sql import functions as F
 
+from askgrid.llm import fingerprints
 from askgrid.operators import sampling as SA
 from askgrid.operators.replies import attach_reply
 from askgrid.schemas import RESULT
@@ -54,3 +56,14 @@ def test_replies_are_shuffled_before_they_are_sorted(spark):
     depth = {kind: [n for n, line in enumerate(lines) if kind in line] for kind in ("SortAggregate", "REPARTITION_BY_NUM")}
     assert max(depth["SortAggregate"]) < min(depth["REPARTITION_BY_NUM"])  # the shuffle stands below both sorts
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, attach_reply(rows, replies, "answer", "raw").collect()), key=str)
+
+
+def test_digests_are_shuffled_as_bytes(spark):
+    docs = spark.createDataFrame([(n, f"some words of document {n}") for n in range(8)], "doc_id long, text string")
+    near = fingerprints.compare_with_edited(docs, band=(0.0, 9.0))
+    assert re.search(r"ReadSchema: \S*edited_sha256:binary", near._jdf.queryExecution().executedPlan().toString())
+    rows = sorted(near.collect(), key=lambda r: r["id"])
+    for r, n in zip(rows, range(8)):
+        text, after = (f"some words of document {k % 8}" for k in (n, n + 1))
+        quarter = len(text) // 4
+        assert r["edited_sha256"] == hashlib.sha256((text[:-quarter] + after[:quarter]).encode()).hexdigest()
