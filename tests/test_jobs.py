@@ -234,3 +234,28 @@ def test_encoder_cuts_ascii_and_other_texts_alike(spark):
         expected = [i for p in cut for i in ([known[p]] if p in known else [b + 3 for b in p.encode()])]
         assert ids == expected and few == expected[:3] and n == len(expected) + 1
     assert TK.finder("plain").pattern == TK.ASCII_PIECE
+
+
+def test_batches_are_cut_at_once_as_text_by_text(spark):
+    """Batches of ASCII are cut by kinds of characters: at signs and ends of texts, across nulls and slices."""
+    import pyarrow as pa
+
+    plain = [None, "", "a1b2 _x\x0b\x0c\x00 --", "  ", " a", "a", "1", "1", None, "ab", "cd", " ;;a9 "]
+    for texts in (plain, [*plain, "é", "½²x y", "漢字🙂 x"], [None], []):
+        found, before = TK.cut(pa.array(["left out", *texts], pa.string()).slice(1))
+        each = [TK.regex.findall(TK.PYTHON_PIECE, t or "") for t in texts]
+        assert [found.to_pylist()[i:j] for i, j in zip(before[:-1], before[1:])] == each
+        assert sum(b["n"].to_pylist()[0] for b in TK.count_pieces(iter([pa.record_batch([pa.array(["x x", *texts])], ["t"])]))) >= 2
+    df = spark.createDataFrame([(t,) for t in plain], "text string")
+    counted = df.select(TK.piece_count(F.col("text")).alias("a"), TK.token_count(F.col("text")).alias("b")).collect()
+    assert all(r.a == r.b for r in counted)
+
+
+def test_prompts_are_cut_outside_the_engine_and_once(spark, sf):
+    """The vocabulary has no row for each piece of a prompt; grouping by length reads prompts once."""
+    from catalog import batches as CB
+
+    words = TK.vocabulary(CB.prompted(spark, sf), "prompt", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in words and words.count("MapInArrow") == 1
+    placed = CB.by_length(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in placed and "l_orderkey" not in placed
