@@ -259,3 +259,15 @@ def test_prompts_are_cut_outside_the_engine_and_once(spark, sf):
     assert "regexp_extract_all" not in words and words.count("MapInArrow") == 1
     placed = CB.by_length(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in placed and "l_orderkey" not in placed
+
+
+def test_numbers_are_read_where_texts_differ(spark):
+    from askgrid.operators.scoring import with_match
+
+    rows = [("5.0", "5.0"), ("5.0", " 5.0\n"), ("$5", "5.001%"), ("Yes ", "yes"), ("a", "b"), ("-0.0", "0"), ("2.675", "2.67"), (None, None), ("1", None), ("nan", "x"), ("1,000", "1000.004")]
+    df = spark.createDataFrame(rows, "gold string, pred string")
+    scored = with_match(df)
+    assert [r.is_match for r in scored.collect()] == [True, True, True, True, False, True, True, False, False, False, True]
+    # No column of numbers is worked out below the test, where every row would get it.
+    below = scored._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1].split("\n+-")[-1]
+    assert scored.columns == ["gold", "pred", "is_match"] and "RLIKE" not in below
