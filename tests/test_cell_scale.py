@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from askgrid.functions.questions import question
+from askgrid.operators import cells as OC
 from askgrid.operators import ranking
 from askgrid.operators.ranking import with_rank
 from askgrid.sources import fixtures as X
@@ -38,3 +40,37 @@ def test_groups_of_any_size_are_ranked_alike(spark, monkeypatch):
     for at_once in (1 << 16, 300, 40, 2):
         monkeypatch.setattr(ranking, "ROWS_AT_ONCE", at_once)
         assert sorted((str(r["g"]), r["o"], r["rank"]) for r in with_rank(rows, "o", ["g"]).collect()) == want
+
+
+def cells_of(spark, rows):
+    return spark.createDataFrame(
+        [("r", n, k, c, "real" if c == "q" else "text", v, float(v) if c == "q" else None) for n, r in enumerate(rows) for k, (c, v) in enumerate(zip(("flag", "q", "other"), r))],
+        "record string, row long, column int, name string, type string, value string, number double")
+
+
+def test_aggregates_share_the_rows_that_satisfy(spark, monkeypatch):
+    satisfying, seen = OC.satisfying_rows, []
+    monkeypatch.setattr(OC, "satisfying_rows", lambda *a, **b: seen.append(satisfying(*a, **b)) or seen[-1])
+    cells = cells_of(spark, [("RAN"[n % 3], str(n % 4), "x") for n in range(30)])
+    aggs = spark.createDataFrame([("r", a, d) for a in ("MAX", "MIN", "COUNT", "SUM", "AVG", "LONGEST") for d in (False, True)], "record string, agg string, d boolean")
+    conds = [("flag", "=", "R"), ("q", ">", "0")]
+    questions = aggs.withColumn("question", F.when(F.col("d"), question("q", F.col("agg"), conds, is_distinct=True)).otherwise(question("q", F.col("agg"), conds)))
+    found = {(r["agg"], r["d"]): (r["answer"]["value"], r["answer"]["status"]) for r in OC.answer_cells(cells, questions, ["record"], own_keys=["agg", "d"]).collect()}
+    hits = [n % 4 for n in range(30) if n % 3 == 0 and n % 4]
+    for d, some in ((False, hits), (True, sorted(set(hits)))):
+        want = {"MAX": max(some), "MIN": min(some), "COUNT": len(some), "SUM": sum(some), "AVG": sum(some) / len(some)}
+        assert {a: found[a, d][0] for a in want} == want and all(found[a, d][1] == "ok" for a in want)
+        assert found["LONGEST", d][1] != "ok" and found["LONGEST", d][0] is None
+    # Once for all plain aggregates, once for the three that fold equal values.
+    assert seen[0].count() == 2 * len(hits)
+
+
+def test_only_cells_that_matter_are_counted(spark):
+    cells = cells_of(spark, [("RAN"[n % 3], str(n), "x") for n in range(30)])
+    asked = spark.createDataFrame([("r",)], "record string").withColumn("question", question("q", "SUM", [("flag", "=", "R")]))
+    named, plain, keys = OC._plain(cells, asked, ["record"], "question")
+    rows = OC.satisfying_rows(named, OC.asked_of(named, plain, keys), keys)
+    assert rows.count() == 10 and "cell_met" in plan_of(rows)
+    for conds, want in (([], 30), ([("other", "=", "x")], 30), ([("flag", "=", "Z")], 0)):
+        counted = asked.withColumn("question", question("*", "COUNT", conds))
+        assert OC.answer_cells(cells, counted, ["record"]).first()["answer"]["value"] == want
