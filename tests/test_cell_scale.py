@@ -7,6 +7,7 @@ from askgrid.operators import cells as OC
 from askgrid.operators import ranking
 from askgrid.operators.ranking import with_rank
 from askgrid.sources import fixtures as X
+from askgrid.sources.records import pack_rows
 
 
 def lines(spark):
@@ -74,3 +75,18 @@ def test_only_cells_that_matter_are_counted(spark):
     for conds, want in (([], 30), ([("other", "=", "x")], 30), ([("flag", "=", "Z")], 0)):
         counted = asked.withColumn("question", question("*", "COUNT", conds))
         assert OC.answer_cells(cells, counted, ["record"]).first()["answer"]["value"] == want
+
+
+def test_order_tables_are_gathered_as_numbers(spark, tmp_path):
+    rows = [(o, n, p, 1, f, q, x) for o in range(1, 9) for n, p, f, q, x in (
+        (2, 1, "R", 10.0, 1234.5), (1, 3, None, 9.0, None), (1, 3, "A", 100.0, 2.0), (1, 3, "A", 20.0, 3.0), (None, None, "N", None, 1e7), (2, 1, "R", 10.0, 1234.5))]
+    kind = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    tables = X.order_tables(spark, str(tmp_path))
+    lines = plan_of(tables).split("\n")
+    exchange = next(n for n, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    assert not any("format_number" in line for line in lines[exchange:])
+    cells = [X.whole("l_linenumber"), F.col("l_returnflag"), X.whole("l_quantity"), F.format_number("l_extendedprice", 2)]
+    old = spark.read.parquet(f"{tmp_path}/lineitem.parquet").groupBy("l_orderkey").agg(F.to_json(pack_rows(X.LINE_KEYS, cells)).alias("rows"))
+    found = tables.join(old, "l_orderkey").select("l_orderkey", F.contains("data", F.concat(F.lit('"rows":'), "rows")).alias("same")).collect()
+    assert len(found) == 8 and all(r["same"] for r in found)
